@@ -220,23 +220,20 @@ def to_common_units(obs: DataFrame, commodities: DataFrame, conversions: DataFra
         "*", _readings_of_name("matched_alias").alias("_alias_read"), _readings_of_text("raw_unit").alias("_raw_read")
     ).select("obs_id", "commodity_slug", "_price", F.when(F.size("_alias_read") > 0, F.col("_alias_read")).otherwise(F.col("_raw_read")).alias("_read"))
     known = read.join(levels, F.col("commodity_slug") == F.col("_slug"), "inner")
-    each = known.select("obs_id", "commodity_slug", "_canon", "_price", "_level", F.monotonically_increasing_id().alias("_row"), F.posexplode("_read").alias("_rank", "_r"))
-    amount = F.col("_r.amount") * _amount_in(F.col("_r.unit"), F.col("_canon"), F.col("commodity_slug"), table)
-    price = F.col("_price") * F.col("_r.money") / amount
-    judged = each.withColumn("_canonical", price).withColumn(
-        "_res", F.when((F.col("_canonical") > 0) & (F.col("_level") > 0), F.abs(F.log(F.col("_canonical") / F.col("_level"))))
-    )
-    best = F.struct(F.coalesce("_res", F.lit(1e9)), "_rank")
-    chosen = judged.groupBy("_row").agg(
-        F.min_by(F.struct("obs_id", "commodity_slug", "_canon", "_r", "_canonical", "_res"), best).alias("b"),
-        F.sort_array(F.collect_list(F.col("_res"))).alias("_all"),
-    )
-    return chosen.select(
-        "b.obs_id",
-        "b.commodity_slug",
-        F.col("b._canon").alias("canonical_unit"),
-        F.col("b._r.unit").alias("written_unit"),
-        F.round("b._canonical").cast("bigint").alias("price_canonical"),
-        F.round("b._res", 6).alias("log_residual"),
-        F.coalesce((F.size("_all") > 1) & (F.element_at("_all", 2) - F.element_at("_all", 1) < tie), F.lit(False)).alias("non_unique"),
+    def hypothesis(r: Column, rank: Column) -> Column:
+        amount = r["amount"] * _amount_in(r["unit"], F.col("_canon"), F.col("commodity_slug"), table)
+        price = F.col("_price") * r["money"] / amount
+        residual = F.when((price > 0) & (F.col("_level") > 0), F.abs(F.log(price / F.col("_level"))))
+        return F.struct(F.coalesce(residual, F.lit(1e9)).alias("order"), rank.alias("rank"), r["unit"].alias("unit"), price.alias("price"), residual.alias("residual"))
+
+    best = known.where(F.size("_read") > 0).withColumn("_all", F.array_sort(F.transform("_read", hypothesis))).withColumn("_best", F.element_at("_all", 1))
+    rival = F.get("_all", F.lit(1))["residual"] - F.col("_best.residual")
+    return best.select(
+        "obs_id",
+        "commodity_slug",
+        F.col("_canon").alias("canonical_unit"),
+        F.col("_best.unit").alias("written_unit"),
+        F.round("_best.price").cast("bigint").alias("price_canonical"),
+        F.round("_best.residual", 6).alias("log_residual"),
+        F.when(F.size("_all") > 1, F.coalesce(rival < tie, F.lit(False))).otherwise(False).alias("non_unique"),
     )
