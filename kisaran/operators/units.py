@@ -184,13 +184,14 @@ def _amount_in(unit: Column, canonical: Column, commodity: Column, table: list)
     return out
 
 
-def usual_levels(obs: DataFrame) -> DataFrame:
-    """Median price per canonical unit of each commodity, from rows whose unit is known."""
-    return (
-        obs.where("unit_factor is not null and price_idr > 0 and commodity_slug is not null")
-        .groupBy(F.col("commodity_slug").alias("_slug"))
-        .agg(F.percentile_approx(F.col("price_idr").cast("double"), 0.5, 1000).alias("_level"))
+def usual_levels(obs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Median price per canonical unit of each (commodity, region) and of each
+    commodity, from rows whose unit is known."""
+    sure = obs.where("unit_factor is not null and price_idr > 0 and commodity_slug is not null").select(
+        F.col("commodity_slug").alias("_slug"), F.col("region").alias("_region"), F.col("price_idr").cast("double").alias("_p")
     )
+    here = sure.groupBy("_slug", "_region").agg(F.percentile_approx("_p", 0.5, 1000).alias("_here"))
+    return here, sure.groupBy("_slug").agg(F.percentile_approx("_p", 0.5, 1000).alias("_overall"))
 
 
 def to_common_units(obs: DataFrame, commodities: DataFrame, conversions: DataFrame, tie: float = math.log(1.6)) -> DataFrame:
@@ -202,24 +203,27 @@ def to_common_units(obs: DataFrame, commodities: DataFrame, conversions: DataFra
 
     A unit in ``matched_alias`` outranks ``raw_unit``.  No result row comes from a
     NULL price, commodity or unit; zero and negative prices are converted without
-    a residual.  A commodity without known prices takes the first reading and
+    a residual.  A series without known prices is held
+    against its commodity; a commodity without any takes the first reading and
     leaves the residual NULL.  Repeated rows each give their row; ties between
     readings go to the first.  An empty table gives an empty result.
 
-    Scale: one scan.  The level is one number per commodity, made by a partial
-    aggregation; texts are read by Arrow batches on the rows without a factor
-    only; the joins are on the commodity list, broadcast by Spark only if small.
+    Scale: the levels are one number per series and per commodity, made by
+    partial aggregation; texts are read by Arrow batches on the rows without a
+    factor only; hypotheses are weighed inside each row, without a shuffle.
     """
     table = factors(conversions)
     goods = commodities.select(F.col("slug").alias("_slug"), F.col("canonical_unit").alias("_canon")).dropDuplicates(["_slug"])
-    levels = goods.join(usual_levels(obs), "_slug", "left")
+    here, overall = usual_levels(obs)
+    levels = goods.join(overall, "_slug", "left")
     open_rows = obs.where("unit_factor is null and price_idr is not null and commodity_slug is not null").select(
-        "obs_id", "commodity_slug", F.col("price_idr").cast("double").alias("_price"), "raw_unit", "matched_alias"
+        "obs_id", "commodity_slug", "region", F.col("price_idr").cast("double").alias("_price"), "raw_unit", "matched_alias"
     )
     read = open_rows.select(
         "*", _readings_of_name("matched_alias").alias("_alias_read"), _readings_of_text("raw_unit").alias("_raw_read")
-    ).select("obs_id", "commodity_slug", "_price", F.when(F.size("_alias_read") > 0, F.col("_alias_read")).otherwise(F.col("_raw_read")).alias("_read"))
-    known = read.join(levels, F.col("commodity_slug") == F.col("_slug"), "inner")
+    ).select("obs_id", "commodity_slug", "region", "_price", F.when(F.size("_alias_read") > 0, F.col("_alias_read")).otherwise(F.col("_raw_read")).alias("_read"))
+    placed = read.join(here.withColumnRenamed("_slug", "_hslug"), (F.col("commodity_slug") == F.col("_hslug")) & F.col("region").eqNullSafe(F.col("_region")), "left")
+    known = placed.join(levels, F.col("commodity_slug") == F.col("_slug"), "inner").withColumn("_level", F.coalesce("_here", "_overall"))
     def hypothesis(r: Column, rank: Column) -> Column:
         amount = r["amount"] * _amount_in(r["unit"], F.col("_canon"), F.col("commodity_slug"), table)
         price = F.col("_price") * r["money"] / amount
