@@ -5,11 +5,37 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from kisaran.llm import aliases
 from kisaran.llm import consensus as cons
 from kisaran.session import table
 
 
+def _names(spark: SparkSession, base: str) -> DataFrame:
+    typed = table(spark, base, "price_observations").where("commodity_slug is null and matched_alias is not null")
+    ignored = table(spark, base, "normalize_reports").select("report_id", F.explode("ignored_names").alias("entered")).where("entered is not null")
+    return typed.select(F.lit("price_observations").alias("origin"), F.col("obs_id").alias("row_id"), F.col("matched_alias").alias("entered")).unionByName(
+        ignored.select(F.lit("normalize_reports").alias("origin"), F.col("report_id").alias("row_id"), "entered")
+    )
+
+
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    """The commodity behind every name that was not recognised, or ``unmatched``."""
+    reference = aliases.reference_names(table(spark, base, "commodities"))
+    mapped = aliases.map_names(_names(spark, base), "entered", reference)
+    return mapped.select("origin", "row_id", "entered", F.col("_slug").alias("commodity_slug"))
+
+
+def p2_report(spark: SparkSession, base: str) -> DataFrame:
+    """Names and distinct spellings by origin, commodity and way of matching."""
+    reference = aliases.reference_names(table(spark, base, "commodities"))
+    mapped = aliases.map_names(_names(spark, base), "entered", reference)
+    return mapped.groupBy("origin", F.col("_slug").alias("commodity_slug"), F.col("_how").alias("how")).agg(
+        F.count(F.lit(1)).alias("n_names"), F.countDistinct("entered").alias("n_spellings")
+    )
+
+
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
     """The consensus label of every candidate with at least three annotators."""
     return cons.consensus(table(spark, base, "gt_labels")).select("candidate_id", "label")
@@ -25,7 +51,7 @@ def p5_agreement(spark: SparkSession, base: str) -> DataFrame:
     return cons.fleiss(cons.usable_labels(table(spark, base, "gt_labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_found, p5_reliability, p5_agreement)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_report, p5_found, p5_reliability, p5_agreement)}
 
 SQL: dict[str, str] = {
     "p5_agreement": """WITH l AS (
