@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kisaran.llm import aliases
+from kisaran.llm import clusters
 from kisaran.llm import consensus as cons
 from kisaran.session import table
 
@@ -36,6 +37,20 @@ def p2_report(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+def _cells(spark: SparkSession, base: str) -> DataFrame:
+    return clusters.cluster_cells(table(spark, base, "cluster_assignments"), table(spark, base, "price_daily_unified"))[0]
+
+
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    """The zone of every cell that has none, from its group."""
+    return clusters.fill_zones(_cells(spark, base))
+
+
+def p3_groups(spark: SparkSession, base: str) -> DataFrame:
+    """Size and most typical cells of each group."""
+    return clusters.describe(_cells(spark, base), "cell_id")
+
+
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
     """The consensus label of every candidate with at least three annotators."""
     return cons.consensus(table(spark, base, "gt_labels")).select("candidate_id", "label")
@@ -51,7 +66,7 @@ def p5_agreement(spark: SparkSession, base: str) -> DataFrame:
     return cons.fleiss(cons.usable_labels(table(spark, base, "gt_labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_report, p5_found, p5_reliability, p5_agreement)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_groups, p5_found, p5_reliability, p5_agreement)}
 
 SQL: dict[str, str] = {
     "p5_agreement": """WITH l AS (
