@@ -11,90 +11,55 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def daily_spine(df: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
+def daily_spine(df: DataFrame, keys: list[str], at: str, values: list[str]) -> DataFrame:
     """``df`` (one row per source and day) with a row for every day of each
-    source's span; days without a row carry NULL."""
-    span = df.groupBy(*keys).agg(F.min(at).alias("_a"), F.max(at).alias("_b"))
-    days = span.select(*keys, F.explode(F.sequence("_a", "_b")).alias(at))
-    on = [F.col(f"d.{k}").eqNullSafe(F.col(f"v.{k}")) for k in keys] + [F.col(f"d.{at}") == F.col(f"v.{at}")]
-    return days.alias("d").join(df.alias("v"), on, "left").select(*[F.col(f"d.{k}").alias(k) for k in keys], F.col(f"d.{at}").alias(at), F.col(f"v.{value}").alias(value))
+    source's span; days without a row carry NULL.
 
-
-def trailing_totals(spine: DataFrame, keys: list[str], at: str, value: str, windows: list[int]) -> DataFrame:
-    """``total_W`` and ``days_W`` (days with a value) per source, day and window.
-
-    ``spine`` has one row per source and calendar day without holes (see
-    :func:`daily_spine`).  Windows are cut at the first day; NULL adds nothing and
-    a window without any value has total NULL and 0 days.  Sums keep the value's
-    type, so decimals stay exact.
-
-    Scale: the windowed work is partitioned by (source, block), so a hot source
-    is spread over its blocks and no task holds more than one block of one source
-    at a time.  Prefix and suffix halves meet in one aggregation by (source, day).
+    Each reading is unfolded up to the day before the next one, so no join is
+    needed and the result stays partitioned by source.
     """
-    day = F.unix_date(F.col(at))
-    parts: DataFrame | None = None
-    for w in windows:
-        own = spine.select(*keys, at, value, day.alias("_d"), F.floor(day / w).alias("_b"))
-        block = Window.partitionBy(*keys, "_b").orderBy("_d")
-        ahead = block.rowsBetween(Window.unboundedPreceding, 0)
-        behind = block.rowsBetween(0, Window.unboundedFollowing)
-        sums = own.select(
-            *keys, "_d", "_b",
-            F.sum(value).over(ahead).alias("_p"), F.count(value).over(ahead).alias("_pn"),
-            F.sum(value).over(behind).alias("_s"), F.count(value).over(behind).alias("_sn"),
-        )
-        # the suffix from day e serves the window ending on e + w - 1, unless e opens its block
-        halves = sums.select(
-            *keys,
-            F.inline(
-                F.array(
-                    F.struct(F.col("_d").alias("_day"), F.lit(True).alias("_own"), F.col("_p").alias("_t"), F.col("_pn").alias("_n")),
-                    F.struct(
-                        F.when(F.pmod("_d", F.lit(w)) != 0, F.col("_d") + F.lit(w - 1)).cast("int").alias("_day"),
-                        F.lit(False).alias("_own"), F.col("_s").alias("_t"), F.col("_sn").alias("_n"),
-                    ),
-                )
-            ),
-        ).where("_day is not null").withColumn("_w", F.lit(w))
-        parts = halves if parts is None else parts.unionByName(halves)
-    assert parts is not None, "windows must not be empty"
-    first = spine.groupBy(*keys).agg(F.min(F.unix_date(at)).alias("_first"))
-    return _meet(parts, _short(spine, first, keys, at, value, windows), keys, at, windows)
+    following = F.lead(at).over(Window.partitionBy(*keys).orderBy(at))
+    until = F.coalesce(F.date_sub(following, 1), F.col(at))
+    unfolded = df.select(*keys, F.col(at).alias("_from"), *values, F.sequence(F.col(at), until).alias("_days"))
+    days = unfolded.select(*keys, "_from", *values, F.explode("_days").alias(at))
+    return days.select(*keys, at, *[F.when(F.col(at) == F.col("_from"), F.col(v)).alias(v) for v in values])
 
 
-def _short(spine: DataFrame, first: DataFrame, keys: list[str], at: str, value: str, windows: list[int]) -> DataFrame:
-    """What windows cut at the start still lack: for a day in the second block
-    whose window begins before the first day, the whole first (partial) block."""
-    day = F.unix_date(F.col(at))
-    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    near = (
-        spine.select(*keys, day.alias("_d"), F.col(value).alias("_v")).alias("a")
-        .join(first.alias("b"), on, "inner")
-        .select(*[F.col(f"a.{k}").alias(k) for k in keys], "_d", "_v", "_first")
-        .where(F.col("_d") - F.col("_first") < max(windows))
-    )
-    out: DataFrame | None = None
-    for w in windows:
-        opening = near.where(F.floor(F.col("_d") / w) == F.floor(F.col("_first") / w))
-        whole = opening.groupBy(*keys, "_first").agg(F.sum("_v").alias("_t"), F.count("_v").alias("_n"))
-        end = F.floor(F.col("_first") / w) * w + w  # first day of the second block
-        part = (
-            whole.where(F.col("_first") + w - 1 > end)
-            .select(*keys, F.explode(F.sequence(end, F.col("_first") + F.lit(w - 2))).alias("_day"), "_t", "_n")
-            .select(*keys, F.col("_day").cast("int").alias("_day"), F.lit(False).alias("_own"), "_t", "_n", F.lit(w).alias("_w"))
-        )
-        out = part if out is None else out.unionByName(part)
-    assert out is not None
-    return out
+def trailing_totals(df: DataFrame, keys: list[str], at: str, windows: dict[str, list[int]]) -> DataFrame:
+    """For each value column its ``<value>_total_W`` and ``<value>_days_W`` (days
+    with a value), for every calendar day of a source's span.
 
+    ``df`` has one row per source and day.  Windows are cut at the first day; NULL
+    adds nothing, and a window without any value has total NULL and 0 days.  Sums
+    keep the value's type, so decimals stay exact.  NULL keys form a source of
+    their own; rows without a date must be dropped before.  An empty table gives
+    an empty result.
 
-def _meet(parts: DataFrame, short: DataFrame, keys: list[str], at: str, windows: list[int]) -> DataFrame:
-    both = parts.unionByName(short)
-    aggs: list[Column] = [F.max("_own").alias("_real")]
-    for w in windows:
-        aggs += [F.sum(F.when(F.col("_w") == w, F.col("_t"))).alias(f"total_{w}"), F.sum(F.when(F.col("_w") == w, F.col("_n"))).alias(f"days_{w}")]
-    return (
-        both.groupBy(*keys, "_day").agg(*aggs).where("_real")
-        .select(*keys, F.date_from_unix_date(F.col("_day").cast("int")).alias(at), *[c for w in windows for c in (f"total_{w}", f"days_{w}")])
-    )
+    Scale: one exchange by source.  A source has one row a day by then, so its
+    group is bounded by the calendar (ten thousand rows in 27 years) however many
+    rows it had at first; prefix sums, suffix sums and the meeting of both run on
+    that one partitioning in time linear in the days, whatever the window length.
+    """
+    out = daily_spine(df, keys, at, list(windows)).withColumn("_d", F.unix_date(at))
+    series = Window.partitionBy(*keys).orderBy("_d")
+    out = out.withColumn("_first", F.min("_d").over(Window.partitionBy(*keys)))
+    lengths = sorted({w for ws in windows.values() for w in ws})
+    for w in lengths:
+        out = out.withColumn(f"_b{w}", F.floor(F.col("_d") / w))
+        block = Window.partitionBy(*keys, f"_b{w}").orderBy("_d")
+        ahead, behind = block.rowsBetween(Window.unboundedPreceding, 0), block.rowsBetween(0, Window.unboundedFollowing)
+        sums = {}
+        for v in (v for v, ws in windows.items() if w in ws):
+            sums |= {f"_p_{v}_{w}": F.sum(v).over(ahead), f"_pn_{v}_{w}": F.count(v).over(ahead), f"_s_{v}_{w}": F.sum(v).over(behind), f"_sn_{v}_{w}": F.count(v).over(behind)}
+        out = out.withColumns(sums)
+    columns: list[Column] = []
+    for v, ws in windows.items():
+        for w in ws:
+            opens = F.pmod(F.col("_d") - F.lit(w - 1), F.lit(w)) == 0  # the window is d's own block
+            early = F.col("_d") - F.lit(w - 1) < F.col("_first")
+            in_first = F.col(f"_b{w}") == F.floor(F.col("_first") / w)
+            for p, s, name in ((f"_p_{v}_{w}", f"_s_{v}_{w}", "total"), (f"_pn_{v}_{w}", f"_sn_{v}_{w}", "days")):
+                before = F.when(opens | in_first, None).when(early, F.first(s).over(series)).otherwise(F.lag(s, w - 1).over(series))
+                both = F.when(before.isNull(), F.col(p)).when(F.col(p).isNull(), before).otherwise(F.col(p) + before)
+                columns.append(both.alias(f"{v}_{name}_{w}"))
+    return out.select(*keys, at, *columns)

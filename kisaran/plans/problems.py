@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kisaran.operators.grid import regular_grid
 from kisaran.operators.spikes import DRIFT, PRICE, SPREAD, flag_readings
-from kisaran.operators.trailing import daily_spine, trailing_totals
+from kisaran.operators.trailing import trailing_totals
 from kisaran.operators.units import to_common_units
 from kisaran.session import table
 
@@ -58,39 +58,37 @@ def _real_prices(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
-def _fused(spark: SparkSession, base: str, value: str) -> DataFrame:
+def _fused(spark: SparkSession, base: str) -> DataFrame:
     version = F.struct("computed_at", "input_id")
-    return (
-        table(spark, base, "fusion_inputs").where("obs_date is not null")
-        .groupBy(*SERIES, "obs_date").agg(F.max_by(value, version).alias(value))
-    )
+    both = F.max_by(F.struct("demand_z52", "pct_change_7d"), version)
+    rows = table(spark, base, "fusion_inputs").where("obs_date is not null").groupBy(*SERIES, "obs_date").agg(both.alias("_x"))
+    return rows.select(*SERIES, "obs_date", "_x.demand_z52", "_x.pct_change_7d")
 
 
-def _totals(rows: DataFrame, value: str, windows: list[int]) -> DataFrame:
-    return trailing_totals(daily_spine(rows, SERIES, "obs_date", value), SERIES, "obs_date", value, windows)
+def _price_totals(spark: SparkSession, base: str) -> DataFrame:
+    return trailing_totals(_real_prices(spark, base), SERIES, "obs_date", {"price_median": [7, 30]})
 
 
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
     """Days whose trailing totals pass the thresholds of the three measures."""
-    found = [
-        ("price_median", _totals(_real_prices(spark, base), "price_median", [7, 30]), "total_7 * days_30 * 100 > total_30 * days_7 * 110"),
-        ("demand_z52", _totals(_fused(spark, base, "demand_z52"), "demand_z52", [7]), "total_7 > 12"),
-        ("pct_change_7d", _totals(_fused(spark, base, "pct_change_7d"), "pct_change_7d", [30]), "total_30 > 1.8"),
-    ]
-    parts = [
-        df.where(cond).select(F.lit(name).alias("measure"), *SERIES, F.date_format("obs_date", "yyyy-MM-dd").alias("obs_date"))
-        for name, df, cond in found
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    price = _price_totals(spark, base).where(
+        "price_median_total_7 * price_median_days_30 * 100 > price_median_total_30 * price_median_days_7 * 110"
+    )
+    fused = trailing_totals(_fused(spark, base), SERIES, "obs_date", {"demand_z52": [7], "pct_change_7d": [30]}).select(
+        *SERIES, "obs_date",
+        F.explode(F.array_compact(F.array(F.expr("if(demand_z52_total_7 > 12, 'demand_z52', null)"), F.expr("if(pct_change_7d_total_30 > 1.8, 'pct_change_7d', null)")))).alias("measure"),
+    )
+    found = price.select(F.lit("price_median").alias("measure"), *SERIES, "obs_date").unionByName(fused)
+    return found.select("measure", *SERIES, F.date_format("obs_date", "yyyy-MM-dd").alias("obs_date"))
 
 
 def p6_totals(spark: SparkSession, base: str) -> DataFrame:
     """Trailing totals and averages of the price for every series and day."""
-    totals = _totals(_real_prices(spark, base), "price_median", [7, 30])
-    mean = lambda w: F.round(F.try_divide(F.col(f"total_{w}").cast("double"), F.col(f"days_{w}")), 6)
+    totals = _price_totals(spark, base)
+    mean = lambda w: F.round(F.try_divide(F.col(f"price_median_total_{w}").cast("double"), F.col(f"price_median_days_{w}")), 6)
     return totals.select(
         *SERIES, "obs_date",
-        *[c for w in (7, 30) for c in (F.col(f"total_{w}").cast("double").alias(f"total_{w}d"), F.col(f"days_{w}").cast("bigint").alias(f"days_{w}d"), mean(w).alias(f"mean_{w}d"))],
+        *[c for w in (7, 30) for c in (F.col(f"price_median_total_{w}").cast("double").alias(f"total_{w}d"), F.col(f"price_median_days_{w}").cast("bigint").alias(f"days_{w}d"), mean(w).alias(f"mean_{w}d"))],
     )
 
 
