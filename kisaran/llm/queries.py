@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kisaran.llm import aliases
 from kisaran.llm import clusters
 from kisaran.llm import consensus as cons
+from kisaran.llm import subjects
 from kisaran.session import table
 
 
@@ -66,7 +67,20 @@ def p5_agreement(spark: SparkSession, base: str) -> DataFrame:
     return cons.fleiss(cons.usable_labels(table(spark, base, "gt_labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_groups, p5_found, p5_reliability, p5_agreement)}
+def p10_found(spark: SparkSession, base: str) -> DataFrame:
+    """The subject areas of every document."""
+    return subjects.subject_areas(table(spark, base, "documents"))
+
+
+def p10_composition(spark: SparkSession, base: str) -> DataFrame:
+    """Documents and weight (in whole documents' sentences) of each subject."""
+    shares = subjects.subject_shares(table(spark, base, "documents"))
+    return shares.groupBy("subject").agg(
+        F.count_if(F.col("share") >= subjects.SubjectParams().share).alias("n_documents"), F.round(F.sum("share"), 3).alias("weight")
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_groups, p5_found, p5_reliability, p5_agreement, p10_found, p10_composition)}
 
 SQL: dict[str, str] = {
     "p5_agreement": """WITH l AS (
