@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kisaran.llm import aliases
 from kisaran.llm import clusters
 from kisaran.llm import consensus as cons
-from kisaran.llm import subjects
+from kisaran.llm import mixing, packing, subjects
 from kisaran.session import table
 
 
@@ -67,6 +67,26 @@ def p5_agreement(spark: SparkSession, base: str) -> DataFrame:
     return cons.fleiss(cons.usable_labels(table(spark, base, "gt_labels")))
 
 
+def p8_packing(spark: SparkSession, base: str) -> DataFrame:
+    """The container of every document or piece of one."""
+    return packing.pack(table(spark, base, "documents"))
+
+
+def p8_report(spark: SparkSession, base: str) -> DataFrame:
+    """Containers used, least possible, and how full they are."""
+    return packing.packing_report(p8_packing(spark, base))
+
+
+def p9_mixture(spark: SparkSession, base: str) -> DataFrame:
+    """How often each document is in the mixture."""
+    return mixing.mix(table(spark, base, "documents"), table(spark, base, "mixture_targets"))[0]
+
+
+def p9_report(spark: SparkSession, base: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return mixing.mix(table(spark, base, "documents"), table(spark, base, "mixture_targets"))[1]
+
+
 def p10_found(spark: SparkSession, base: str) -> DataFrame:
     """The subject areas of every document."""
     return subjects.subject_areas(table(spark, base, "documents"))
@@ -80,7 +100,7 @@ def p10_composition(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_groups, p5_found, p5_reliability, p5_agreement, p10_found, p10_composition)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_groups, p5_found, p5_reliability, p5_agreement, p8_packing, p8_report, p9_mixture, p9_report, p10_found, p10_composition)}
 
 SQL: dict[str, str] = {
     "p5_agreement": """WITH l AS (
