@@ -291,4 +291,4 @@ def fill_zones(clustered: DataFrame) -> DataFrame:
     most = known.groupBy("_cluster").agg(F.max_by("zone", F.struct("n", "zone")).alias("_zone"))
     overall = known.groupBy("zone").agg(F.sum("n").alias("n")).agg(F.max_by("zone", F.struct("n", "zone")).alias("_any"))
     missing = clustered.where("zone is null").select("cell_id", "_cluster")
-    return missing.join(F.broadcast(most), "_cluster", "left").join(F.broadcast(overall), how="left").select("cell_id", F.coalesce("_zone", "_any").alias("zone"))
+    return missing.join(F.broadcast(most), "_cluster", "left").select("cell_id", F.coalesce(F.col("_zone"), overall.scalar()).alias("zone"))
