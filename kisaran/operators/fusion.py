@@ -7,6 +7,8 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kisaran.functions.expressions import half_up
+
 SERIES = ["commodity", "region"]
 
 
@@ -102,9 +104,9 @@ def fuse(inputs: DataFrame, p: FusionParams = FusionParams()) -> DataFrame:
     from the score before rounding."""
     scored = terms(inputs, p).withColumn("_f", weighted(p))
     level, reason = level_of(F.col("_f"), p)
-    r6 = lambda c: F.round(c, 6).alias(c)
+    r6 = lambda c: half_up(F.col(c), 6).alias(c)
     components = F.struct(r6("a"), r6("m"), r6("d"), r6("c"), "both_flagged", "n_sources_reporting", "n_sources_flagging", reason.alias("reason"))
-    return scored.select(*SERIES, "obs_date", F.round("_f", 6).alias("fusion_score"), level.alias("level"), components.alias("components"))
+    return scored.select(*SERIES, "obs_date", half_up(F.col("_f"), 6).alias("fusion_score"), level.alias("level"), components.alias("components"))
 
 
 def perturbed_weights(p: FusionParams = FusionParams(), delta: float = 0.10) -> list[tuple[str, dict[str, float]]]:

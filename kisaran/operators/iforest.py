@@ -22,22 +22,40 @@ def average_path(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, c, np.where(n == 2, 1.0, 0.0))
 
 
-def path_lengths(x: np.ndarray, sample: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Path length of every row of ``x`` in one tree grown on ``sample``."""
-    limit = math.ceil(math.log2(max(2, len(sample))))
-    out = np.zeros(len(x))
-    todo = [(np.arange(len(x)), sample, 0)]
-    while todo:
-        rows, node, depth = todo.pop()
-        low, high = node.min(axis=0), node.max(axis=0)
-        open_ = np.flatnonzero(high > low)
-        if depth >= limit or len(node) <= 1 or not len(open_):
-            out[rows] = depth + average_path(len(node))
-            continue
-        f = int(rng.choice(open_))
-        cut = rng.uniform(low[f], high[f])
-        left, mine = x[rows, f] <= cut, node[:, f] <= cut
-        todo += [(rows[left], node[mine], depth + 1), (rows[~left], node[~mine], depth + 1)]
+def path_sums(x: np.ndarray, trees: int, size: int, rng: np.random.Generator) -> np.ndarray:
+    """Sum over the trees of each row's path length; all trees grow level by level.
+
+    A node is a key (tree, path as bits); a level splits every node at a uniform cut
+    of a uniformly chosen feature that still varies in it.
+    """
+    n = len(x)
+    limit = math.ceil(math.log2(max(2, size)))
+    grown = x[np.argsort(rng.random((trees, n)), axis=1)[:, :size].reshape(-1)]
+    key = np.repeat(np.arange(trees, dtype=np.int64), size)
+    row, at = np.tile(np.arange(n), trees), np.repeat(np.arange(trees, dtype=np.int64), n)
+    out = np.zeros(n)
+    for depth in range(limit + 1):
+        order = np.argsort(key, kind="stable")
+        key, grown = key[order], grown[order]
+        nodes, start, count = np.unique(key, return_index=True, return_counts=True)
+        low, high = np.minimum.reduceat(grown, start), np.maximum.reduceat(grown, start)
+        varies = high > low
+        splits = varies.any(axis=1) & (count > 1) & (depth < limit)
+        here = np.searchsorted(nodes, at)
+        ends = ~splits[here]
+        out += np.bincount(row[ends], depth + average_path(count[here[ends]]), n)
+        row, at, here = row[~ends], at[~ends], here[~ends]
+        if not len(row):
+            break
+        f = np.where(varies, rng.random(varies.shape), -1.0).argmax(axis=1)
+        each = np.arange(len(nodes))
+        bottom, top = low[each, f], high[each, f]
+        cut = np.minimum(bottom + rng.random(len(nodes)) * (top - bottom), np.nextafter(top, -np.inf))
+        at = at * 2 + (x[row, f[here]] > cut[here])
+        own = np.repeat(each, count)
+        keep = splits[own]
+        own, grown = own[keep], grown[keep]
+        key = key[keep] * 2 + (grown[np.arange(len(grown)), f[own]] > cut[own])
     return out
 
 
@@ -46,11 +64,17 @@ def scores(x: np.ndarray, trees: int, sample: int, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
     size = min(sample, len(x))
     total = np.zeros(len(x))
-    for _ in range(trees):
-        total += path_lengths(x, x[rng.choice(len(x), size, replace=False)], rng)
+    for t in range(0, trees, 50):
+        total += path_sums(x, min(50, trees - t), size, rng)
     return -np.exp2(-total / trees / max(float(average_path(size)), 1e-12))
 
 
+def spread_series(df: DataFrame) -> DataFrame:
+    """Hash partitions by series that adaptive execution does not put together by
+    bytes: the work per row is far beyond its size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "commodity", "region")
+
+
 def isolate(features: DataFrame, trees: int = 200, contamination: float = 0.03, min_history: int = 60, sample: int = 256, seed: int = 20260729) -> DataFrame:
     """raw_score, is_flagged and threshold_used of each reading.
 
@@ -76,7 +100,7 @@ def isolate(features: DataFrame, trees: int = 200, contamination: float = 0.03,
         out["threshold_used"] = cut if np.isfinite(cut) else None
         return out
 
-    return features.groupBy("commodity", "region").applyInPandas(one, SCHEMA)
+    return spread_series(features).groupBy("commodity", "region").applyInPandas(one, SCHEMA)
 
 
 def thresholds(scored: DataFrame, contaminations: list[float]) -> DataFrame:

@@ -42,7 +42,7 @@ def reject_reasons(obs: DataFrame, commodities: DataFrame, regions: DataFrame, l
     ``low`` and ``high`` bound the price as parts and multiples of the commodity's
     median.
     """
-    level = obs.where("price > 0").groupBy("commodity").agg(F.percentile_approx("price", 0.5, 1000).alias("_level"))
+    level = obs.where("price > 0").groupBy("commodity").agg(F.median("price").alias("_level"))
     known = commodities.select(F.col("slug").alias("commodity"), F.lit(True).alias("_listed"))
     places = regions.select(F.col("slug").alias("region"), F.lit(True).alias("_placed"))
     wide = obs.join(known, "commodity", "left").join(places, "region", "left").join(level, "commodity", "left")

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kisaran.operators.iforest import spread_series
+
 SERIES = ["commodity", "region"]
 SCHEMA = "commodity string, region string, period_start date, observed double, trend double, seasonal double, resid double"
 
@@ -101,7 +103,7 @@ def decompose(weeks: DataFrame, period: int = 52, seasonal: int = 13, min_weeks:
         t, s, r = stl(pdf["observed"].to_numpy(float), period, seasonal, outer=outer)
         return pdf[["commodity", "region", "period_start", "observed"]].assign(trend=t, seasonal=s, resid=r)
 
-    return fill_inner(long).groupBy(*SERIES).applyInPandas(one, SCHEMA)
+    return spread_series(fill_inner(long)).groupBy(*SERIES).applyInPandas(one, SCHEMA)
 
 
 def week_profile(components: DataFrame, value: str = "seasonal", share: float = 0.9) -> DataFrame:

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from kisaran.plans import problems, series
+from kisaran.plans.series import flagship
 
-from kisaran.plans import problems
+QUERIES = {**series.QUERIES, **problems.QUERIES}
+SQL = {**series.SQL, **problems.SQL}
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
-
-
-def flagship(spark: SparkSession, base: str) -> DataFrame:
-    return problems.p6_totals(spark, base)
+__all__ = ["QUERIES", "SQL", "flagship"]
