@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +31,25 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers.
+
+    Where the workers see it anyway (its folder is the working directory or on
+    PYTHONPATH of a local master) nothing is done; else it is sent once as a zip.
+    """
+    sc = spark.sparkContext
+    root = Path(__file__).resolve().parent.parent
+    seen = [Path(p or ".").resolve() for p in ["", *os.environ.get("PYTHONPATH", "").split(os.pathsep)]]
+    if root in seen and sc.master.startswith("local") or getattr(sc, "_kisaran_shipped", False):
+        return
+    folder = Path(tempfile.mkdtemp(prefix="kisaran-zip-"))  # served to the executors by the driver
+    with zipfile.ZipFile(folder / "kisaran.zip", "w") as z:
+        for f in sorted((root / "kisaran").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(folder / "kisaran.zip"))
+    sc._kisaran_shipped = True
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` into the folder that the session names.
 
