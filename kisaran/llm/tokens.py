@@ -47,4 +47,5 @@ def token_count(text: Column, path: str = VOCABULARY) -> Column:
     def count(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: len(encode(t, path)) if t else 0).astype("int64")
 
-    return F.pandas_udf(count, T.LongType())(F.coalesce(text, F.lit("")))
+    # marked so that a filter on the count does not tokenise a second time
+    return F.pandas_udf(count, T.LongType()).asNondeterministic()(F.coalesce(text, F.lit("")))
