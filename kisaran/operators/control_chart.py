@@ -21,9 +21,12 @@ class ChartParams:
     ``weight``/``scale_weight``: weights of the newest reading.  ``clip``: half
     width, in scales, of the band a reading is clipped to.  ``limit``: scales
     beyond which both charts must see a reading for it to be a spike.
-    ``relevel``: successive one-sided readings that make a new level.
+    ``weak_limit``/``weak_steepness``: see
+    :func:`spikes`.  ``relevel``: successive one-sided readings that make a new level.
     ``around``/``step_ratio``: readings on either side whose median step a spike's
-    steps in and out must exceed so many times.  ``min_shift``: smallest deviation (log or absolute units) worth flagging.
+    steps in and out must exceed so many times.  ``held_step``:
+    part of the median move that counts as usual step where values are held.
+    ``min_shift``: smallest deviation (log or absolute units) worth flagging.
     ``floor``/``step_floor``: lower
     bound of the scale, absolute and as a part of the median non-zero step.  ``stuck_min``/``stuck_ratio``: shortest
     stuck run, and how many times the source's habitual run it must last.
@@ -34,12 +37,15 @@ class ChartParams:
     scale_weight: float = 0.1
     clip: float = 2.5
     limit: float = 3.6
+    weak_limit: float = 2.6
+    weak_steepness: float = 3.0
     relevel: int = 4
     min_shift: float = 0.08
     floor: float = 0.004
     step_floor: float = 0.5
     around: int = 8
     step_ratio: float = 4.5
+    held_step: float = 0.35
     stuck_min: int = 7
     stuck_ratio: float = 3.0
     min_points: int = 5
@@ -106,31 +112,43 @@ def two_sided(values: np.ndarray, days: np.ndarray, p: ChartParams) -> np.ndarra
     zf, zb = f / fs, b / bs
     score = np.where(np.sign(f) == np.sign(b), np.sign(f) * np.minimum(np.abs(zf), np.abs(zb)), 0.0)
     near = np.minimum(np.abs(f), np.abs(b))
-    score = np.where(near >= p.min_shift, score, 0.0)
-    return _abrupt(score, values, p)
+    return np.where(near >= p.min_shift, score, 0.0)
 
 
-def _abrupt(score: np.ndarray, values: np.ndarray, p: ChartParams) -> np.ndarray:
-    """Drop scores of runs that are no spikes: too long, or entered and left in
-    steps that the readings around them take too.
+def spikes(values: np.ndarray, days: np.ndarray, p: ChartParams) -> np.ndarray:
+    """True for readings out of both charts' bands in a short and steep run.
 
-    The step into and the step out of a run of readings beyond the limit must
-    each be ``step_ratio`` times the median absolute step among the ``around``
-    readings on either side of it; at an end of the series the one step there is
-    must be half as large again.
+    Runs beyond ``limit`` must be entered and left in steps of ``step_ratio`` times
+    the usual step around them.  Runs that only exceed ``weak_limit`` (an earlier
+    unrest still widens the band) must be ``weak_steepness`` times steeper.
     """
-    n, out = len(values), score.copy()
-    side = np.where(np.abs(score) > p.limit, np.sign(score), 0.0)
+    score = two_sided(values, days, p)
+    found = _abrupt(score, values, p, p.limit, p.step_ratio)
+    if p.weak_limit < p.limit:
+        found |= _abrupt(np.where(found, 0.0, score), values, p, p.weak_limit, p.step_ratio * p.weak_steepness)
+    return found
+
+
+def _abrupt(score: np.ndarray, values: np.ndarray, p: ChartParams, limit: float, step_ratio: float) -> np.ndarray:
+    """Runs of readings beyond ``limit`` that are short, and that are entered and left
+    in steps unlike those around them.
+
+    The step into and the step out of a run must each be ``step_ratio`` times the
+    median absolute step among the ``around`` readings on either side of it; at an
+    end of the series the one step there is must be half as large again.
+    """
+    n, out = len(values), np.zeros(len(values), bool)
+    side = np.where(np.abs(score) > limit, np.sign(score), 0.0)
     pos, length = run_positions(side)
     for i in np.flatnonzero((side != 0) & (pos == 0)):
         j = i + length[i]  # one past the run
         before, after = values[max(0, i - p.around) : i], values[j : j + p.around]
         steps = np.abs(np.concatenate([np.diff(before), np.diff(after)]))
-        usual = max(float(np.median(steps)) if len(steps) else 0.0, p.floor)
+        moves = steps[steps > 0]
+        usual = max(float(np.median(steps)) if len(steps) else 0.0, p.held_step * float(np.median(moves)) if len(moves) else 0.0, p.floor)
         sides = [abs(values[k] - values[k - 1]) for k in (i, j) if 0 < k < n]
         ratio = min(sides, default=0.0) / usual
-        if length[i] >= p.relevel or ratio < p.step_ratio * (1.5 if len(sides) < 2 else 1.0):
-            out[i:j] = 0.0
+        out[i:j] = length[i] < p.relevel and ratio >= step_ratio * (1.5 if len(sides) < 2 else 1.0)
     return out
 
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kisaran.operators.control_chart import ChartParams, stuck, two_sided
+from kisaran.operators.control_chart import ChartParams, spikes, stuck
 
 BLOCK = 1461
 HALO = 200
@@ -57,11 +57,11 @@ PRICE = Measure(
 )
 DRIFT = Measure(
     "ratio_drift_pct", "ratio_drift_pct", "offset_id", ("commodity", "region", "source"), "run_id", -100.0, 500.0, False,
-    ChartParams(weight=0.3, limit=5.5, min_shift=4.0, floor=0.5, step_ratio=2.0, stuck_min=5),
+    ChartParams(weight=0.3, limit=5.5, weak_limit=5.5, min_shift=4.0, floor=0.5, step_ratio=2.0, stuck_min=5),
 )
 SPREAD = Measure(
     "spread_pct", "spread_pct", "point_id", ("commodity", "region"), "obs_date", -1e-9, 1000.0, False,
-    ChartParams(weight=0.2, scale_weight=0.05, limit=4.5, min_shift=0.2, floor=0.1, step_ratio=2.5),
+    ChartParams(weight=0.2, scale_weight=0.05, limit=4.5, weak_limit=4.5, min_shift=0.2, floor=0.1, step_ratio=2.5),
 )
 
 
@@ -89,8 +89,7 @@ def _judge(position: np.ndarray, value: np.ndarray, log: bool, p: ChartParams) -
     # A stuck run counts once in the chart; else it would narrow the band to nothing.
     keep = ~flat
     x = np.log(value[keep]) if log else value[keep]
-    score = two_sided(x, position[keep], p)
-    out[np.flatnonzero(keep)[np.abs(score) > p.limit]] = 1
+    out[np.flatnonzero(keep)[spikes(x, position[keep], p)]] = 1
     return out
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from conftest import days
 
-from kisaran.operators.control_chart import ChartParams, run_positions, stuck, two_sided
+from kisaran.operators.control_chart import ChartParams, run_positions, spikes, stuck
 from kisaran.operators.spikes import DRIFT, PRICE, SPREAD, flag_readings
 
 P = ChartParams()
@@ -16,7 +16,7 @@ def level(n=120, base=10_000.0, noise=0.01, seed=1):
 
 
 def flagged(values):
-    return np.flatnonzero(np.abs(two_sided(np.log(values), np.arange(len(values)), P)) > P.limit)
+    return np.flatnonzero(spikes(np.log(values), np.arange(len(values)), P))
 
 
 def test_plain_noise_is_quiet():
