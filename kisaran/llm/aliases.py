@@ -284,7 +284,10 @@ def match_names(names: DataFrame, column: str, reference: list[tuple[str, str]],
     name typed in a third of all rows is matched once; the list is shipped to the
     tasks (bounded by MAX_NAMES) and compiled once per task.
     """
-    distinct = names.select(F.col(column).alias("entered")).distinct()
+    parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Matching costs far more per byte than adaptive coalescing assumes, so the number of
+    # partitions is given; twice the usual one, as an equal exchange would be left out.
+    distinct = names.select(F.col(column).alias("entered")).distinct().repartition(2 * parts, "entered")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = Matcher(reference, **settings)
