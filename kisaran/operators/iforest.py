@@ -71,8 +71,9 @@ def scores(x: np.ndarray, trees: int, sample: int, seed: int) -> np.ndarray:
 
 def spread_series(df: DataFrame) -> DataFrame:
     """Hash partitions by series that adaptive execution does not put together by
-    bytes: the work per row is far beyond its size."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "commodity", "region")
+    bytes: the work per row is far beyond its size.  Twice the usual number, as an
+    exchange equal to the one before would be left out."""
+    return df.repartition(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "commodity", "region")
 
 
 def isolate(features: DataFrame, trees: int = 200, contamination: float = 0.03, min_history: int = 60, sample: int = 256, seed: int = 20260729) -> DataFrame:
