@@ -273,6 +273,18 @@ def reference_names(commodities: DataFrame, max_names: int = MAX_NAMES) -> list[
     return [(r["name"], r["slug"]) for r in rows]
 
 
+_MATCHERS: dict[int, Matcher] = {}
+
+
+def shared_matcher(reference: list[tuple[str, str]], **settings) -> Matcher:
+    """The compiled list, with the words it has met, kept for later tasks of a worker."""
+    key = hash((tuple(reference), tuple(sorted(settings.items()))))
+    if key not in _MATCHERS:
+        _MATCHERS.clear()
+        _MATCHERS[key] = Matcher(reference, **settings)
+    return _MATCHERS[key]
+
+
 def match_names(names: DataFrame, column: str, reference: list[tuple[str, str]], **settings) -> DataFrame:
     """``entered``, ``slug``, ``how`` and ``likeness`` of each distinct name.
 
@@ -290,7 +302,7 @@ def match_names(names: DataFrame, column: str, reference: list[tuple[str, str]],
     distinct = names.select(F.col(column).alias("entered")).distinct().repartition(2 * parts, "entered")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(reference, **settings)
+        matcher = shared_matcher(reference, **settings)
         for pdf in batches:
             out = [matcher.match(x) for x in pdf["entered"]]
             yield pd.DataFrame({"entered": pdf["entered"], "slug": [o[0] for o in out], "how": [o[1] for o in out], "likeness": [o[2] for o in out]})
