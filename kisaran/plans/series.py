@@ -638,7 +638,7 @@ def kmeans_search(spark, base):
 
     good, columns = cut_lineage(good), ["volatility_std", "cum_change_std"]
     parts = []
-    for k, (inertia, centres) in kmeans.fit_grid(good, columns, list(range(2, 9)), restarts=8).items():
+    for k, (inertia, centres) in kmeans.fit_grid(good, columns, list(range(2, 9)), restarts=50, passes=300).items():
         scored = kmeans.silhouette(kmeans.assign(good, columns, centres), columns, "cluster_id")
         parts.append(scored.agg(F.lit(k).alias("k"), F.round(F.lit(inertia), 6).alias("inertia"), F.round(F.avg("silhouette"), 6).alias("silhouette")))
     out = parts[0]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kisaran.functions.expressions import parse_price, unit_of_name
 from kisaran.operators import cells, detectors, evaluate, fusion, iforest, kmeans, linking, runs, seasonal
+from kisaran.plans import registry
 from kisaran.sources import payloads, sinks
 from kisaran.streaming import ingest
 
@@ -175,6 +176,33 @@ def test_kmeans_and_silhouette(spark):
         assert got[i][1] == pytest.approx((near - own) / max(near, own))
 
 
+def test_kmeans_runs_until_it_stands_still(spark):
+    """Evenly spread points move the centres for far more than 30 passes."""
+    df = spark.range(3000).select((F.col("id") / 100.0).alias("a"))
+    (inertia, centres), = kmeans.fit_grid(df, ["a"], [8], restarts=2).values()
+    x, c = np.arange(3000) / 100.0, np.sort(centres[:, 0])
+    at = np.abs(x[:, None] - c[None]).argmin(axis=1)
+    assert np.allclose([x[at == i].mean() for i in range(8)], c, atol=1e-5)
+    assert inertia == pytest.approx(((x - c[at]) ** 2).sum())
+    with pytest.warns(RuntimeWarning, match="still moved"):
+        kmeans.fit_grid(df, ["a"], [8], restarts=2, passes=2)
+
+
+def test_kmeans_starts_and_ks_come_from_all_rows(spark):
+    """30,000 equal rows and three far ones, which a sample of 20,000 rows can miss."""
+    rows = spark.range(30003).select(F.when(F.col("id") < 30000, 0.0).otherwise(F.col("id") * 10.0).alias("a"))
+    got = kmeans.fit_grid(rows, ["a"], [2, 3, 4, 5], restarts=3)
+    assert sorted(got) == [2, 3, 4] and got[4][0] == pytest.approx(0.0, abs=1e-3)
+
+
+@pytest.mark.parametrize(("name", "settings"), [("kmeans_search", {"restarts": 50, "passes": 300})])
+def test_registered_searches_are_whole(spark, monkeypatch, name, settings):
+    seen = {}
+    monkeypatch.setattr(kmeans, "fit_grid", lambda *a, **k: seen.update(k) or {2: (0.0, np.zeros((2, 2)))})
+    registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert seen == settings
+
+
 def test_stl_sums_up_and_finds_the_peak():
     n = 160
     t = np.arange(n)
