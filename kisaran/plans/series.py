@@ -524,14 +524,14 @@ def operational_events(spark, base):
 
 @query()
 def iforest_scores(spark, base):
-    scored = iforest.isolate(detectors.feature_matrix(price_of(spark, base), demand_of(spark, base)), trees=100)
+    scored = iforest.isolate(detectors.feature_matrix(price_of(spark, base), demand_of(spark, base)))
     return detectors.percentile_rank(scored, F.col("raw_score"))
 
 
 @query()
 def contamination_overlap(spark, base):
     """Flag sets of three contaminations from one scoring, against the middle one."""
-    scored = iforest.isolate(detectors.feature_matrix(price_of(spark, base), demand_of(spark, base)), trees=100)
+    scored = iforest.isolate(detectors.feature_matrix(price_of(spark, base), demand_of(spark, base)))
     flags = iforest.thresholds(scored, [0.01, 0.03, 0.05]).where("is_flagged").select(*SERIES, "obs_date", F.col("contamination").cast("string").alias("contamination"))
     return evaluate.set_overlap(flags, "contamination", "0.03")
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import inspect
 from datetime import timedelta
 
 import numpy as np
@@ -357,3 +358,19 @@ def test_runs(spark):
     table = good.frame(spark).unionByName(bad.frame(spark))
     assert runs.latest_run(table, "analyse").collect()[0].run_id == 1
     assert runs.latest_run(table, "other").count() == 0
+
+
+@pytest.mark.parametrize("name", ["iforest_scores", "contamination_overlap"])
+def test_registered_forests_have_all_trees(spark, monkeypatch, name):
+    used = []
+    isolate = iforest.isolate
+
+    def seen(*a, **k):
+        bound = inspect.signature(isolate).bind(*a, **k)
+        bound.apply_defaults()
+        used.append(bound.arguments["trees"])
+        return isolate(*a, **k)
+
+    monkeypatch.setattr(iforest, "isolate", seen)
+    registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert used == [200]
