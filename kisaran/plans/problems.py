@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kisaran.operators.grid import regular_grid
@@ -92,6 +92,22 @@ def p6_totals(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+def p6_measures(spark: SparkSession, base: str) -> DataFrame:
+    """Trailing totals, days and averages over 7 and 30 days of all three measures,
+    for every series and day of both tables."""
+    fused = trailing_totals(_fused(spark, base), SERIES, "obs_date", {"demand_z52": [7, 30], "pct_change_7d": [7, 30]})
+
+    def of(name: str) -> Column:
+        total = lambda w: F.col(f"{name}_total_{w}").cast("double")
+        days = lambda w: F.col(f"{name}_days_{w}").cast("bigint")
+        mean = lambda w: F.round(F.try_divide(total(w), days(w)), 9)  # noqa: E731 (no tie at 9 digits)
+        return F.struct(F.lit(name).alias("measure"), *[c for w in (7, 30) for c in (F.round(total(w), 6).alias(f"total_{w}d"), days(w).alias(f"days_{w}d"), mean(w).alias(f"mean_{w}d"))])
+
+    price = _price_totals(spark, base).select(*SERIES, "obs_date", of("price_median").alias("_m"))
+    both = fused.select(*SERIES, "obs_date", F.explode(F.array(of("demand_z52"), of("pct_change_7d"))).alias("_m"))
+    return price.unionByName(both).select(*SERIES, "obs_date", "_m.*")
+
+
 def _units(spark: SparkSession, base: str) -> DataFrame:
     return to_common_units(*(table(spark, base, t) for t in ("price_observations", "commodities", "unit_conversions")))
 
@@ -109,7 +125,7 @@ def p7_units(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_reasons, p4_found, p4_grid, p6_found, p6_totals, p7_found, p7_units)
+    f.__name__: f for f in (p1_found, p1_reasons, p4_found, p4_grid, p6_found, p6_totals, p6_measures, p7_found, p7_units)
 }
 
 _SPINE = """
@@ -144,4 +160,15 @@ UNION ALL SELECT 'pct_change_7d', commodity, region, strftime(obs_date, '%Y-%m-%
 t AS (SELECT *, {_TRAIL.format(v="v", n=6)} AS s7, {_COUNT.format(v="v", n=6)} AS n7, {_TRAIL.format(v="v", n=29)} AS s30, {_COUNT.format(v="v", n=29)} AS n30 FROM days)
 SELECT commodity, region, obs_date, CAST(s7 AS DOUBLE) AS total_7d, n7 AS days_7d, round(CAST(s7 AS DOUBLE) / nullif(n7, 0), 6) AS mean_7d,
   CAST(s30 AS DOUBLE) AS total_30d, n30 AS days_30d, round(CAST(s30 AS DOUBLE) / nullif(n30, 0), 6) AS mean_30d FROM t""",
+    "p6_measures": f"""WITH {_SPINE},
+fused AS (SELECT commodity, region, obs_date, arg_max(row(demand_z52, pct_change_7d), row(computed_at, input_id)) AS p FROM fusion_inputs WHERE obs_date IS NOT NULL GROUP BY ALL),
+fspans AS (SELECT commodity, region, min(obs_date) AS a, max(obs_date) AS b FROM fused GROUP BY ALL),
+fspine AS (SELECT commodity, region, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS obs_date FROM fspans),
+fdays AS (SELECT s.*, f.p[1] AS dz, f.p[2] AS pc FROM fspine s LEFT JOIN fused f USING (commodity, region, obs_date)),
+m AS (SELECT 'price_median' AS measure, commodity, region, obs_date, CAST(v AS DECIMAL(38, 6)) AS x FROM days
+  UNION ALL SELECT 'demand_z52', commodity, region, obs_date, CAST(dz AS DECIMAL(38, 6)) FROM fdays UNION ALL SELECT 'pct_change_7d', commodity, region, obs_date, CAST(pc AS DECIMAL(38, 6)) FROM fdays),
+t AS (SELECT *, sum(x) OVER w7 AS s7, count(x) OVER w7 AS n7, sum(x) OVER w30 AS s30, count(x) OVER w30 AS n30 FROM m
+  WINDOW w7 AS (PARTITION BY measure, commodity, region ORDER BY obs_date RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW), w30 AS (PARTITION BY measure, commodity, region ORDER BY obs_date RANGE BETWEEN INTERVAL 29 DAY PRECEDING AND CURRENT ROW))
+SELECT measure, commodity, region, obs_date, round(CAST(s7 AS DOUBLE), 6) AS total_7d, n7 AS days_7d, round(CAST(s7 AS DOUBLE) / nullif(n7, 0), 9) AS mean_7d,
+  round(CAST(s30 AS DOUBLE), 6) AS total_30d, n30 AS days_30d, round(CAST(s30 AS DOUBLE) / nullif(n30, 0), 9) AS mean_30d FROM t""",
 }

@@ -103,3 +103,22 @@ def test_common_units(spark):
         2: ("kg", 15_000), 3: ("kg", 15_000), 4: ("butir", 2_500), 5: ("liter", 18_200), 6: ("kg", None), 7: ("kg", 15_000), 11: ("kg", None), 12: ("kg", 9_000), 13: ("kg", 15_000),
     }
     assert to_common_units(obs.limit(0), goods, conv).count() == 0
+
+
+def test_all_measures_have_both_windows(spark):
+    """Days below every threshold too, for the price, the demand and the change."""
+    from kisaran.plans import problems, registry
+
+    base = "/root/testdata/sf0.001"
+    got = {(r.measure, r.commodity, r.region, r.obs_date): r for r in registry.QUERIES["p6_measures"](spark, base).collect()}
+    rows = problems._fused(spark, base).collect()
+    for name in ("demand_z52", "pct_change_7d"):
+        value = {(r.commodity, r.region, r.obs_date): r[name] for r in rows}
+        for c, k, d in list(value)[::50]:
+            for w in (7, 30):
+                seen = [v for i in range(w) if (v := value.get((c, k, d - timedelta(days=i)))) is not None]
+                r = got[(name, c, k, d)]
+                assert r[f"days_{w}d"] == len(seen) and (r[f"total_{w}d"] is None) == (not seen)
+                if seen:
+                    assert r[f"total_{w}d"] == pytest.approx(float(sum(seen))) and r[f"mean_{w}d"] == pytest.approx(float(sum(seen)) / len(seen), abs=1e-8)
+    assert {m for m, *_ in got} == {"price_median", "demand_z52", "pct_change_7d"}
