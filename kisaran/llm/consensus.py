@@ -14,36 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kisaran.operators.labels import LABELS, canonical_label, usable_labels
 from kisaran.session import cut_lineage
 
-LABELS = ("anomali", "normal", "ragu")
-
 #: Beyond so many annotators their table is joined by shuffle instead of broadcast.
 BROADCAST_ANNOTATORS = 50_000
 
 
-def canonical_label(label: Column) -> Column:
-    """The label behind its spellings ("Nrml", "ragu2", "anomaly"), else NULL."""
-    s = F.regexp_replace(F.lower(label), "[^a-z]", "")
-    return F.when(s.rlike("^an[o]?m[a]?l"), "anomali").when(s.rlike("^n[o]?rm"), "normal").when(s.rlike("^rag"), "ragu")
-
-
-def usable_labels(labels: DataFrame) -> DataFrame:
-    """The standing label per (candidate, annotator): the latest usable one.
-
-    Codes are trimmed and upper-cased.  NULL and unreadable labels, and rows
-    without a candidate or a code, are no labels; of equal times the highest
-    label_id stands.
-    """
-    code = F.upper(F.regexp_replace("annotator_code", r"[^A-Za-z0-9]", ""))
-    return (
-        labels.select("candidate_id", code.alias("annotator"), canonical_label(F.col("label")).alias("label"), "labeled_at", "label_id")
-        .where("candidate_id is not null and annotator != '' and label is not null")
-        .groupBy("candidate_id", "annotator")
-        .agg(F.max_by("label", F.struct("labeled_at", "label_id")).alias("label"))
-    )
-
-
 def _by_annotator(edges: DataFrame, table: DataFrame, few: bool) -> DataFrame:
     return edges.join(F.broadcast(table) if few else table, "annotator")
 

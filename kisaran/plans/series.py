@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kisaran.functions.expressions import fold, kappa_band, parse_price, unit_of_name
-from kisaran.operators import cells, detectors, evaluate, fusion, iforest, kmeans, linking, normalize, reports, seasonal
+from kisaran.operators import cells, detectors, evaluate, fusion, iforest, kmeans, labels, linking, normalize, reports, seasonal
 from kisaran.plans.problems import SERIES
 from kisaran.session import table
 from kisaran.sources import payloads, sinks
@@ -841,6 +841,48 @@ def labelling_queue(spark, base):
     return table(spark, base, "gt_candidates").select("candidate_id").join(labels_of(spark, base).where("annotator = 'A1'").select("candidate_id"), "candidate_id", "left_anti")
 
 
+READ = """told AS (SELECT candidate_id, upper(regexp_replace(annotator_code, '[^A-Za-z0-9]', '', 'g')) AS annotator, regexp_replace(lower(label), '[^a-z]', '', 'g') AS w, labeled_at, label_id FROM gt_labels),
+spelt AS (SELECT candidate_id, annotator, CASE WHEN regexp_matches(w, '^ano?ma?l') THEN 'anomali' WHEN regexp_matches(w, '^no?rm') THEN 'normal' WHEN regexp_matches(w, '^rag') THEN 'ragu' END AS l, labeled_at, label_id FROM told),
+lab AS (SELECT candidate_id, annotator, arg_max(l, row(labeled_at, label_id)) AS label FROM spelt WHERE l IS NOT NULL AND candidate_id IS NOT NULL AND annotator <> '' GROUP BY ALL),
+pairs AS (SELECT x.candidate_id, x.annotator AS annotator_a, y.annotator AS annotator_b, x.label AS label_a, y.label AS label_b FROM lab x JOIN lab y ON x.candidate_id = y.candidate_id AND x.annotator < y.annotator)"""
+
+
+def read_labels_of(spark, base):
+    """Standing labels through all spellings, as p5 reads them."""
+    return labels.usable_labels(table(spark, base, "gt_labels"))
+
+
+@query(
+    """SELECT annotator_a, annotator_b, n_paired, round(po, 6) AS observed_agreement, round(pe, 6) AS expected_agreement, round(k, 6) AS kappa, CASE WHEN k < 0 THEN 'worse than chance' WHEN k < 0.2 THEN 'slight' WHEN k < 0.4 THEN 'fair' WHEN k < 0.6 THEN 'moderate' WHEN k < 0.8 THEN 'substantial' ELSE 'almost perfect' END AS band FROM (
+  SELECT *, CASE WHEN pe >= 1 THEN 0 ELSE (po - pe) / (1 - pe) END AS k FROM (SELECT annotator_a, annotator_b, n_paired, s / n_paired AS po, e / (CAST(n_paired AS DOUBLE) * n_paired) AS pe FROM (
+    SELECT annotator_a, annotator_b, count(*) AS n_paired, count(*) FILTER (label_a = label_b) AS s, count(*) FILTER (label_a = 'anomali') * count(*) FILTER (label_b = 'anomali') + count(*) FILTER (label_a = 'normal') * count(*) FILTER (label_b = 'normal') + count(*) FILTER (label_a = 'ragu') * count(*) FILTER (label_b = 'ragu') AS e FROM pairs GROUP BY ALL)))""",
+    READ,
+)
+def kappa_pairs(spark, base):
+    """Agreement of every pair of annotators with a candidate in common."""
+    k = labels.pair_kappas(labels.label_pairs(read_labels_of(spark, base)))
+    return k.select("annotator_a", "annotator_b", "n_paired", r6("observed_agreement"), r6("expected_agreement"), r6("kappa"), kappa_band(F.col("kappa")).alias("band"))
+
+
+@query("SELECT candidate_id, annotator_a, annotator_b, label_a, label_b FROM pairs WHERE label_a <> label_b", READ)
+def pair_disagreements(spark, base):
+    return labels.label_pairs(read_labels_of(spark, base)).where("label_a <> label_b").select("candidate_id", "annotator_a", "annotator_b", "label_a", "label_b")
+
+
+@query("SELECT a.annotator, c.candidate_id FROM gt_candidates c, (SELECT DISTINCT annotator FROM told WHERE annotator <> '') a WHERE NOT EXISTS (SELECT 1 FROM lab l WHERE l.candidate_id = c.candidate_id AND l.annotator = a.annotator)", READ)
+def labelling_queues(spark, base):
+    """The open candidates of every annotator with a row in the labels."""
+    codes = table(spark, base, "gt_labels").select(labels.annotator_code(F.col("annotator_code")).alias("annotator")).where("annotator != ''").distinct()
+    return labels.queues(table(spark, base, "gt_candidates"), read_labels_of(spark, base), codes)
+
+
+@query("SELECT c.sampling_stratum, count(DISTINCT c.candidate_id) AS n_candidates, count(l.label) AS n_labels, count(DISTINCT l.candidate_id) AS n_labelled FROM gt_candidates c LEFT JOIN lab l USING (candidate_id) GROUP BY ALL", READ)
+def labelling_progress_read(spark, base):
+    """labelling_progress with the labels of all spellings."""
+    joined = table(spark, base, "gt_candidates").select("candidate_id", "sampling_stratum").join(read_labels_of(spark, base).withColumnRenamed("candidate_id", "_c"), F.col("candidate_id") == F.col("_c"), "left")
+    return joined.groupBy("sampling_stratum").agg(F.countDistinct("candidate_id").alias("n_candidates"), F.count("label").alias("n_labels"), F.countDistinct("_c").alias("n_labelled"))
+
+
 ARMS = """arms AS (SELECT DISTINCT * FROM (
   SELECT 'zscore_only' AS method, commodity, region, obs_date FROM fused WHERE zscore_flagged UNION ALL SELECT 'iforest_only', commodity, region, obs_date FROM fused WHERE iforest_flagged
   UNION ALL SELECT 'union', commodity, region, obs_date FROM fused WHERE zscore_flagged OR iforest_flagged UNION ALL SELECT 'fusion', commodity, region, obs_date FROM alerts WHERE level IN ('siaga', 'waspada'))),

@@ -9,7 +9,7 @@ from conftest import days
 from pyspark.sql import functions as F
 
 from kisaran.functions.expressions import parse_price, unit_of_name
-from kisaran.operators import cells, detectors, evaluate, fusion, iforest, kmeans, linking, runs, seasonal
+from kisaran.operators import cells, detectors, evaluate, fusion, iforest, kmeans, labels, linking, runs, seasonal
 from kisaran.plans import registry
 from kisaran.sources import payloads, sinks
 from kisaran.streaming import ingest
@@ -374,3 +374,17 @@ def test_registered_forests_have_all_trees(spark, monkeypatch, name):
     monkeypatch.setattr(iforest, "isolate", seen)
     registry.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert used == [200]
+
+
+def test_every_pair_and_every_queue(spark):
+    t = "candidate_id bigint, annotator_code string, label string, labeled_at int, label_id bigint"
+    rows = [(1, "a1", "normal", 1, 1), (1, "a1", "anomaly", 2, 2), (1, "B2", "nrml", 1, 3), (1, "c3", "ragu-ragu", 1, 4), (2, "b2", "Normal.", 1, 5), (2, "c3", "normal", 1, 6), (2, "d4", "?", 1, 7)]
+    raw = spark.createDataFrame(rows, t)
+    told = labels.usable_labels(raw)
+    pairs = labels.label_pairs(told)
+    assert sorted(map(tuple, pairs.collect())) == [(1, "A1", "anomali", "B2", "normal"), (1, "A1", "anomali", "C3", "ragu"), (1, "B2", "normal", "C3", "ragu"), (2, "B2", "normal", "C3", "normal")]
+    got = {(r.annotator_a, r.annotator_b): (r.n_paired, r.observed_agreement, r.kappa) for r in labels.pair_kappas(pairs).collect()}
+    assert got == {("A1", "B2"): (1, 0.0, 0.0), ("A1", "C3"): (1, 0.0, 0.0), ("B2", "C3"): (2, 0.5, 0.0)}
+    codes = raw.select(labels.annotator_code(F.col("annotator_code")).alias("annotator")).distinct()
+    left = labels.queues(spark.range(1, 4).toDF("candidate_id"), told, codes)
+    assert sorted(map(tuple, left.collect())) == [("A1", 2), ("A1", 3), ("B2", 3), ("C3", 3), ("D4", 1), ("D4", 2), ("D4", 3)]
