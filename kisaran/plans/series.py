@@ -690,7 +690,7 @@ def top_weeks(spark, base):
 @query()
 def stl_components(spark, base):
     """Decomposition with a season of 13 weeks: the tables hold less than two years."""
-    return seasonal.decompose(weeks_of(spark, base), period=13, seasonal=7, min_weeks=27, outer=5)
+    return seasonal.decompose(weeks_of(spark, base), period=13, min_weeks=27)
 
 
 # ---- fusion ------------------------------------------------------------------------

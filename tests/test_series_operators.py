@@ -388,3 +388,17 @@ def test_every_pair_and_every_queue(spark):
     codes = raw.select(labels.annotator_code(F.col("annotator_code")).alias("annotator")).distinct()
     left = labels.queues(spark.range(1, 4).toDF("candidate_id"), told, codes)
     assert sorted(map(tuple, left.collect())) == [("A1", 2), ("A1", 3), ("B2", 3), ("C3", 3), ("D4", 1), ("D4", 2), ("D4", 3)]
+
+
+def test_registered_decomposition_is_whole(spark, monkeypatch):
+    used = []
+    whole = inspect.signature(seasonal.decompose)
+
+    def seen(*a, **k):
+        bound = whole.bind(*a, **k)
+        bound.apply_defaults()
+        used.append((bound.arguments["seasonal"], bound.arguments["outer"]))
+
+    monkeypatch.setattr(seasonal, "decompose", seen)
+    registry.QUERIES["stl_components"](spark, "/root/testdata/sf0.001")
+    assert used == [(13, 15)]
