@@ -30,6 +30,7 @@ class ChartParams:
     ``floor``/``step_floor``: lower
     bound of the scale, absolute and as a part of the median non-zero step.  ``stuck_min``/``stuck_ratio``: shortest
     stuck run, and how many times the source's habitual run it must last.
+    ``habit``: quantile of a source's run lengths, weighted by reports, that is its habit.
     ``min_points``: shorter series are not judged for spikes.
     """
 
@@ -48,6 +49,7 @@ class ChartParams:
     held_step: float = 0.35
     stuck_min: int = 7
     stuck_ratio: float = 3.0
+    habit: float = 0.95
     min_points: int = 5
 
 
@@ -165,11 +167,11 @@ def run_positions(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def stuck(values: np.ndarray, p: ChartParams) -> np.ndarray:
-    """True for each reading after the first of a run far beyond the habit.
+    """True for each reading after the first of a run far beyond the series' own runs.
 
-    The habit is the 75 % quantile of the lengths of the source's other runs,
+    The habit is the 75 % quantile of the lengths of the series' other runs,
     weighted by reports; a run is stuck from ``max(stuck_min, stuck_ratio x
-    habit)`` reports on.
+    habit)`` reports on.  The chart leaves such readings out.
     """
     pos, length = run_positions(values)
     if len(values) == 0:

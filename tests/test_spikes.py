@@ -107,6 +107,24 @@ def test_hot_source_is_judged_like_any_other(spark):
     assert found(spark, data) == {(200, "spike"), (5200, "spike")}
 
 
+def test_habit_is_taken_over_all_series_of_a_source(spark):
+    """A source that holds prices for weeks: its long runs are no fault, in whatever
+    series; the same run of a source that does not hold them is stuck."""
+    rng = np.random.default_rng(9)
+    data, stuck_ids = [], set()
+    for k in range(12):
+        held = 10_000 * np.exp(np.cumsum(rng.normal(0, 0.03, 40)))
+        lengths = rng.choice([4, 5, 10, 15, 20], 40, p=[0.3, 0.4, 0.15, 0.1, 0.05])
+        x = np.repeat(held, lengths)[:150]
+        data += [(len(data) + i, f"g{k}", "kota", "holds", d, float(v), "x") for i, (d, v) in enumerate(zip(days(150), x))]
+        y = level(150, seed=50 + k)
+        if k == 3:
+            y[60:75] = y[60]
+            stuck_ids = {len(data) + i for i in range(61, 75)}
+        data += [(len(data) + i, f"g{k}", "kota", "moves", d, float(v), "x") for i, (d, v) in enumerate(zip(days(150), y))]
+    assert {i for i, r in found(spark, data) if r == "stuck"} == stuck_ids
+
+
 def test_drift_and_spread(spark):
     drift = [(i, "gula", "kota", "a", r, v) for i, (r, v) in enumerate(zip(range(1, 10), [0.4, -0.2, 0.1, 22.0, 0.3, None, -250.0, 0.2, 0.1]))]
     df = spark.createDataFrame(drift, "offset_id long, commodity string, region string, source string, run_id long, ratio_drift_pct double")
