@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import warnings
 from collections import Counter
 from pathlib import Path
 
@@ -153,6 +154,20 @@ def simulate(n_items=800, seed=3):
 LABELS = "label_id long, candidate_id long, annotator_code string, label string, labeled_at long"
 
 
+def test_messages_come_to_rest_or_tell(spark):
+    """Two annotators who never agree flip every message each round; a bound that is
+    too low is told."""
+    quarrel = [(i, c, a, "anomali" if a == "A" else "normal") for i, (c, a) in enumerate((c, a) for c in range(6) for a in "AB")]
+    edges = spark.createDataFrame([(c, a, x) for _, c, a, x in quarrel], "candidate_id long, annotator string, label string")
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        _, weights = consensus.annotator_weights(edges)
+    assert weights.count() == 2
+    mixed = spark.createDataFrame([(c, a, x) for c in range(8) for a, x in zip("ABC", ["ragu", "ragu", "normal"] if c % 3 else ["normal", "anomali", "normal"])], edges.schema)
+    with pytest.warns(RuntimeWarning, match="still move"):
+        consensus.annotator_weights(mixed, max_rounds=1)
+
+
 def test_consensus_beats_the_majority(spark):
     truth, rows = simulate()
     df = spark.createDataFrame(rows, LABELS)
