@@ -110,10 +110,11 @@ def set_overlap(sets: DataFrame, name: str, base: str) -> DataFrame:
     (one of both holds the other).  ``sets``: ``name`` and the key columns."""
     flags = sets.groupBy(*KEY).agg(F.collect_set(name).alias("_in"))  # as many as there are sets
     each = flags.select(F.explode("_in").alias(name), F.array_contains("_in", base).alias("_b"))
-    sizes = flags.agg(F.count_if(F.array_contains("_in", base)).alias("_nb"))
-    return (
-        each.groupBy(name).agg(F.count(F.lit(1)).alias("n_flags"), F.count_if("_b").alias("n_common")).withColumn("_nb", sizes.scalar())
-        .select(name, "n_flags", "n_common", F.try_divide(F.col("n_common").cast("double"), (F.col("n_flags") + F.col("_nb") - F.col("n_common")).cast("double")).alias("jaccard"), (F.col("n_common") == F.least("n_flags", "_nb")).alias("nested"))
+    counts = each.groupBy(name).agg(F.count(F.lit(1)).alias("n_flags"), F.count_if("_b").alias("n_common"))
+    size = F.coalesce(F.max(F.when(F.col(name) == base, F.col("n_flags"))).over(Window.partitionBy()), F.lit(0))  # over one row a set
+    return counts.withColumn("_nb", size).select(
+        name, "n_flags", "n_common", F.try_divide(F.col("n_common").cast("double"), (F.col("n_flags") + F.col("_nb") - F.col("n_common")).cast("double")).alias("jaccard"),
+        (F.col("n_common") == F.least("n_flags", "_nb")).alias("nested"),
     )
 
 

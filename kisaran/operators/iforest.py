@@ -25,37 +25,58 @@ def average_path(n: np.ndarray) -> np.ndarray:
 def path_sums(x: np.ndarray, trees: int, size: int, rng: np.random.Generator) -> np.ndarray:
     """Sum over the trees of each row's path length; all trees grow level by level.
 
-    A node is a key (tree, path as bits); a level splits every node at a uniform cut
-    of a uniformly chosen feature that still varies in it.
+    A level splits every node at a uniform cut of a uniformly chosen feature that
+    still varies in it.  Nodes are numbered through over all trees and their rows lie
+    side by side, so a level is a handful of array operations; the children of the
+    n-th split node are the nodes 2n and 2n + 1 of the next level.  Where the sample
+    is the whole series its rows are the rows to be scored.
     """
-    n = len(x)
+    n, d = x.shape
     limit = math.ceil(math.log2(max(2, size)))
-    grown = x[np.argsort(rng.random((trees, n)), axis=1)[:, :size].reshape(-1)]
-    key = np.repeat(np.arange(trees, dtype=np.int64), size)
-    row, at = np.tile(np.arange(n), trees), np.repeat(np.arange(trees, dtype=np.int64), n)
+    flat = np.ascontiguousarray(x.T, dtype=np.float32).reshape(-1)
+    whole = size >= n
+    everyone = np.tile(np.arange(n, dtype=np.int32), trees)
+    row = everyone if whole else np.argpartition(rng.random((trees, n), dtype=np.float32), size - 1, axis=1)[:, :size].astype(np.int32).reshape(-1)
+    seen, at = everyone, np.repeat(np.arange(trees, dtype=np.int32), n)
+    count = np.full(trees, size)
+    paths = average_path(np.arange(size + 1))
     out = np.zeros(n)
     for depth in range(limit + 1):
-        order = np.argsort(key, kind="stable")
-        key, grown = key[order], grown[order]
-        nodes, start, count = np.unique(key, return_index=True, return_counts=True)
-        low, high = np.minimum.reduceat(grown, start), np.maximum.reduceat(grown, start)
-        varies = high > low
-        splits = varies.any(axis=1) & (count > 1) & (depth < limit)
-        here = np.searchsorted(nodes, at)
-        ends = ~splits[here]
-        out += np.bincount(row[ends], depth + average_path(count[here[ends]]), n)
-        row, at, here = row[~ends], at[~ends], here[~ends]
-        if not len(row):
+        nodes, start = len(count), np.cumsum(count) - count
+        splits = (count > 1) & (depth < limit)
+        if splits.any():
+            own = np.repeat(np.arange(nodes, dtype=np.int32), count)
+            turns = rng.random((nodes, d), dtype=np.float32).argsort(axis=1).astype(np.int32) * n
+            f = turns[:, 0].copy()
+            value = flat[f[own] + row]
+            low, high = np.minimum.reduceat(value, start), np.maximum.reduceat(value, start)
+            for turn in turns.T[1:]:
+                dull = np.flatnonzero(splits & (high <= low))
+                if not len(dull):
+                    break
+                f[dull] = turn[dull]
+                c = count[dull]
+                first = np.cumsum(c) - c
+                these = np.repeat(start[dull] - first, c) + np.arange(c.sum())
+                value[these] = flat[np.repeat(f[dull], c) + row[these]]
+                low[dull], high[dull] = np.minimum.reduceat(value[these], first), np.maximum.reduceat(value[these], first)
+            splits &= high > low
+        ends = ~splits[at]
+        out += np.bincount(seen[ends], depth + paths[count[at[ends]]], n)
+        if not splits.any():
             break
-        f = np.where(varies, rng.random(varies.shape), -1.0).argmax(axis=1)
-        each = np.arange(len(nodes))
-        bottom, top = low[each, f], high[each, f]
-        cut = np.minimum(bottom + rng.random(len(nodes)) * (top - bottom), np.nextafter(top, -np.inf))
-        at = at * 2 + (x[row, f[here]] > cut[here])
-        own = np.repeat(each, count)
+        cut = np.minimum(low + rng.random(nodes, dtype=np.float32) * (high - low), np.nextafter(high, np.float32(-np.inf)))
+        left = 2 * (np.cumsum(splits, dtype=np.int32) - 1)
         keep = splits[own]
-        own, grown = own[keep], grown[keep]
-        key = key[keep] * 2 + (grown[np.arange(len(grown)), f[own]] > cut[own])
+        own, row, value = own[keep], row[keep], value[keep]
+        child = left[own] + (value > cut[own])
+        row = row[np.argsort(child.astype(np.uint16) if 2 * nodes < 1 << 16 else child, kind="stable")]
+        count = np.bincount(child, minlength=2 * int(splits.sum()))
+        if whole:
+            seen, at = row, np.repeat(np.arange(len(count), dtype=np.int32), count)
+        else:
+            seen, at = seen[~ends], at[~ends]
+            at = left[at] + (flat[f[at] + seen] > cut[at])
     return out
 
 
@@ -64,8 +85,8 @@ def scores(x: np.ndarray, trees: int, sample: int, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
     size = min(sample, len(x))
     total = np.zeros(len(x))
-    for t in range(0, trees, 50):
-        total += path_sums(x, min(50, trees - t), size, rng)
+    for t in range(0, trees, 100):
+        total += path_sums(x, min(100, trees - t), size, rng)
     return -np.exp2(-total / trees / max(float(average_path(size)), 1e-12))
 
 
@@ -76,6 +97,18 @@ def spread_series(df: DataFrame) -> DataFrame:
     return df.repartition(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "commodity", "region")
 
 
+def _series_scores(pdf: pd.DataFrame, trees: int, min_history: int, sample: int, seed: int) -> tuple[pd.DataFrame, np.ndarray]:
+    """The series in order of days, and its scores (NaN where there is none)."""
+    pdf = pdf.sort_values("obs_date", kind="stable").reset_index(drop=True)
+    x = pdf[FEATURES].to_numpy(float)
+    full = np.isfinite(x).all(axis=1)
+    raw = np.full(len(pdf), np.nan)
+    if len(pdf) >= min_history and full.sum() >= min_history:
+        key = f"{pdf['commodity'][0]}|{pdf['region'][0]}|{seed}"
+        raw[full] = scores(x[full], trees, sample, xxhash.xxh32_intdigest(key))
+    return pdf[["commodity", "region", "obs_date"]], raw
+
+
 def isolate(features: DataFrame, trees: int = 200, contamination: float = 0.03, min_history: int = 60, sample: int = 256, seed: int = 20260729) -> DataFrame:
     """raw_score, is_flagged and threshold_used of each reading.
 
@@ -86,29 +119,28 @@ def isolate(features: DataFrame, trees: int = 200, contamination: float = 0.03,
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("obs_date", kind="stable").reset_index(drop=True)
-        x = pdf[FEATURES].to_numpy(float)
-        full = np.isfinite(x).all(axis=1)
-        raw = np.full(len(pdf), np.nan)
-        cut = np.nan
-        if len(pdf) >= min_history and full.sum() >= min_history:
-            key = f"{pdf['commodity'][0]}|{pdf['region'][0]}|{seed}"
-            raw[full] = scores(x[full], trees, sample, xxhash.xxh32_intdigest(key))
-            cut = float(np.quantile(raw[full], contamination))
-        out = pdf[["commodity", "region", "obs_date"]].copy()
-        out["raw_score"] = pd.Series(raw).astype(object).where(np.isfinite(raw), None)
-        out["is_flagged"] = np.nan_to_num(raw, nan=np.inf) < cut if np.isfinite(cut) else False
-        out["threshold_used"] = cut if np.isfinite(cut) else None
-        return out
+        out, raw = _series_scores(pdf, trees, min_history, sample, seed)
+        judged = np.isfinite(raw)
+        cut = float(np.quantile(raw[judged], contamination)) if judged.any() else np.nan
+        return out.assign(
+            raw_score=pd.Series(raw).astype(object).where(judged, None), is_flagged=np.nan_to_num(raw, nan=np.inf) < cut if judged.any() else False,
+            threshold_used=cut if judged.any() else None,
+        )
 
     return spread_series(features).groupBy("commodity", "region").applyInPandas(one, SCHEMA)
 
 
-def thresholds(scored: DataFrame, contaminations: list[float]) -> DataFrame:
-    """Flags of each reading under several contaminations; scores are reused."""
-    cuts = scored.groupBy("commodity", "region").agg(*[F.percentile("raw_score", c).alias(f"c{i}") for i, c in enumerate(contaminations)])
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("contamination"), F.col(f"c{i}").alias("cut")) for i, c in enumerate(contaminations)]))
-    return scored.where("raw_score is not null").join(cuts, ["commodity", "region"]).select("commodity", "region", "obs_date", "raw_score", each.alias("e")).select("commodity", "region", "obs_date", "e.contamination", (F.col("raw_score") < F.col("e.cut")).alias("is_flagged"))
+def flag_sets(features: DataFrame, contaminations: list[float], trees: int = 200, min_history: int = 60, sample: int = 256, seed: int = 20260729) -> DataFrame:
+    """The flagged readings under each contamination (column ``contamination``, as
+    text): every series is scored once and cut at each of its quantiles."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, raw = _series_scores(pdf, trees, min_history, sample, seed)
+        judged = np.isfinite(raw)
+        sets = [out[np.nan_to_num(raw, nan=np.inf) < np.quantile(raw[judged], c)].assign(contamination=str(c)) for c in contaminations if judged.any()]
+        return pd.concat(sets) if sets else out.head(0).assign(contamination="")
+
+    return spread_series(features).groupBy("commodity", "region").applyInPandas(one, "commodity string, region string, obs_date date, contamination string")
 
 
-__all__ = ["FEATURES", "isolate", "scores", "thresholds"]
+__all__ = ["FEATURES", "flag_sets", "isolate", "scores"]

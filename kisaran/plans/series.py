@@ -531,8 +531,7 @@ def iforest_scores(spark, base):
 @query()
 def contamination_overlap(spark, base):
     """Flag sets of three contaminations from one scoring, against the middle one."""
-    scored = iforest.isolate(detectors.feature_matrix(price_of(spark, base), demand_of(spark, base)))
-    flags = iforest.thresholds(scored, [0.01, 0.03, 0.05]).where("is_flagged").select(*SERIES, "obs_date", F.col("contamination").cast("string").alias("contamination"))
+    flags = iforest.flag_sets(detectors.feature_matrix(price_of(spark, base), demand_of(spark, base)), [0.01, 0.03, 0.05])
     return evaluate.set_overlap(flags, "contamination", "0.03")
 
 

@@ -363,19 +363,59 @@ def test_runs(spark):
 @pytest.mark.parametrize("name", ["iforest_scores", "contamination_overlap"])
 def test_registered_forests_have_all_trees(spark, monkeypatch, name):
     used = []
-    isolate = iforest.isolate
 
-    def seen(*a, **k):
-        bound = inspect.signature(isolate).bind(*a, **k)
-        bound.apply_defaults()
-        used.append(bound.arguments["trees"])
-        return isolate(*a, **k)
+    def spy(whole):
+        def seen(*a, **k):
+            bound = inspect.signature(whole).bind(*a, **k)
+            bound.apply_defaults()
+            used.append(bound.arguments["trees"])
+            return whole(*a, **k)
+
+        return seen
 
-    monkeypatch.setattr(iforest, "isolate", seen)
+    for f in ("isolate", "flag_sets"):
+        monkeypatch.setattr(iforest, f, spy(getattr(iforest, f)))
     registry.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert used == [200]
 
 
+def test_flag_sets_are_the_flags_of_each_contamination(spark):
+    feats = detectors.feature_matrix(prices(spark, wave()))
+    sets = iforest.flag_sets(feats, [0.01, 0.05], trees=20).collect()
+    for c in (0.01, 0.05):
+        one = {r.obs_date for r in iforest.isolate(feats, trees=20, contamination=c).collect() if r.is_flagged}
+        assert one and one == {r.obs_date for r in sets if r.contamination == str(c)}
+    assert iforest.flag_sets(feats.limit(10), [0.05], trees=5).count() == 0
+
+
+@pytest.mark.parametrize("n", [80, 400])
+def test_paths_are_those_of_trees_grown_one_by_one(n):
+    """Mean path lengths against trees grown by plain recursion."""
+    rng = np.random.default_rng(4)
+    x = np.column_stack([rng.normal(size=n), rng.normal(size=n), np.arange(n) % 3, np.zeros(n)])
+    x[7] *= 6
+    size = min(256, n)
+    limit = int(np.ceil(np.log2(size)))
+
+    def walk(train, rows, depth, out):
+        varies = np.flatnonzero(train.max(axis=0) > train.min(axis=0)) if len(train) > 1 else []
+        if depth == limit or len(varies) == 0:
+            out[rows] += depth + float(iforest.average_path(len(train)))
+            return
+        f = rng.choice(varies)
+        cut = rng.uniform(train[:, f].min(), train[:, f].max())
+        low = x[rows, f] <= cut
+        walk(train[train[:, f] <= cut], rows[low], depth + 1, out)
+        walk(train[train[:, f] > cut], rows[~low], depth + 1, out)
+
+    plain = np.zeros(n)
+    for _ in range(400):
+        walk(x[rng.permutation(n)[:size]], np.arange(n), 0, plain)
+    fast = iforest.path_sums(x, 400, size, np.random.default_rng(5))
+    assert abs(fast.mean() - plain.mean()) / 400 < 0.15 and np.abs(fast - plain).max() / 400 < 0.8
+    assert fast.argmin() == plain.argmin() == 7
+
+
 def test_every_pair_and_every_queue(spark):
     t = "candidate_id bigint, annotator_code string, label string, labeled_at int, label_id bigint"
     rows = [(1, "a1", "normal", 1, 1), (1, "a1", "anomaly", 2, 2), (1, "B2", "nrml", 1, 3), (1, "c3", "ragu-ragu", 1, 4), (2, "b2", "Normal.", 1, 5), (2, "c3", "normal", 1, 6), (2, "d4", "?", 1, 7)]
