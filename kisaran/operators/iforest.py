@@ -28,55 +28,66 @@ def path_sums(x: np.ndarray, trees: int, size: int, rng: np.random.Generator) ->
     A level splits every node at a uniform cut of a uniformly chosen feature that
     still varies in it.  Nodes are numbered through over all trees and their rows lie
     side by side, so a level is a handful of array operations; the children of the
-    n-th split node are the nodes 2n and 2n + 1 of the next level.  Where the sample
-    is the whole series its rows are the rows to be scored.
+    n-th node are the nodes 2n and 2n + 1 of the next level.  Where the sample is the
+    whole series its rows are the rows to be scored.
     """
     n, d = x.shape
     limit = math.ceil(math.log2(max(2, size)))
     flat = np.ascontiguousarray(x.T, dtype=np.float32).reshape(-1)
     whole = size >= n
-    everyone = np.tile(np.arange(n, dtype=np.int32), trees)
-    row = everyone if whole else np.argpartition(rng.random((trees, n), dtype=np.float32), size - 1, axis=1)[:, :size].astype(np.int32).reshape(-1)
-    seen, at = everyone, np.repeat(np.arange(trees, dtype=np.int32), n)
+    everyone = np.tile(np.arange(n), trees)
+    row = everyone if whole else np.argpartition(rng.random((trees, n), dtype=np.float32), size - 1, axis=1)[:, :size].reshape(-1)
+    seen, at = everyone, np.repeat(np.arange(trees), n)
     count = np.full(trees, size)
     paths = average_path(np.arange(size + 1))
     out = np.zeros(n)
-    for depth in range(limit + 1):
-        nodes, start = len(count), np.cumsum(count) - count
-        splits = (count > 1) & (depth < limit)
-        if splits.any():
-            own = np.repeat(np.arange(nodes, dtype=np.int32), count)
-            turns = rng.random((nodes, d), dtype=np.float32).argsort(axis=1).astype(np.int32) * n
-            f = turns[:, 0].copy()
-            value = flat[f[own] + row]
-            low, high = np.minimum.reduceat(value, start), np.maximum.reduceat(value, start)
-            for turn in turns.T[1:]:
-                dull = np.flatnonzero(splits & (high <= low))
-                if not len(dull):
-                    break
-                f[dull] = turn[dull]
-                c = count[dull]
-                first = np.cumsum(c) - c
-                these = np.repeat(start[dull] - first, c) + np.arange(c.sum())
-                value[these] = flat[np.repeat(f[dull], c) + row[these]]
-                low[dull], high[dull] = np.minimum.reduceat(value[these], first), np.maximum.reduceat(value[these], first)
-            splits &= high > low
-        ends = ~splits[at]
-        out += np.bincount(seen[ends], depth + paths[count[at[ends]]], n)
-        if not splits.any():
-            break
-        cut = np.minimum(low + rng.random(nodes, dtype=np.float32) * (high - low), np.nextafter(high, np.float32(-np.inf)))
-        left = 2 * (np.cumsum(splits, dtype=np.int32) - 1)
-        keep = splits[own]
-        own, row, value = own[keep], row[keep], value[keep]
-        child = left[own] + (value > cut[own])
-        row = row[np.argsort(child.astype(np.uint16) if 2 * nodes < 1 << 16 else child, kind="stable")]
-        count = np.bincount(child, minlength=2 * int(splits.sum()))
+
+    def close(stay: np.ndarray, depth: int) -> None:
+        """End the paths in the nodes that do not ``stay``; number the others anew."""
+        nonlocal row, seen, at, count, out
+        if stay.all():
+            return
+        go, lengths = np.repeat(stay, count), depth + paths[count]
         if whole:
-            seen, at = row, np.repeat(np.arange(len(count), dtype=np.int32), count)
+            out += np.bincount(row[~go], np.repeat(lengths, np.where(stay, 0, count)), n)
         else:
-            seen, at = seen[~ends], at[~ends]
-            at = left[at] + (flat[f[at] + seen] > cut[at])
+            on = stay[at]
+            out += np.bincount(seen[~on], lengths[at[~on]], n)
+            seen, at = seen[on], (np.cumsum(stay) - 1)[at[on]]
+        row, count = row[go], count[stay]
+
+    for depth in range(limit + 1):
+        close((count > 1) & (depth < limit), depth)
+        if not len(count):
+            break
+        start = np.cumsum(count) - count
+        f = rng.integers(0, d, len(count)) * n
+        value = flat.take(np.repeat(f, count) + row, mode="clip")
+        low, high = np.minimum.reduceat(value, start), np.maximum.reduceat(value, start)
+        flat_nodes = np.flatnonzero(high <= low)  # the drawn feature does not vary here: the others in random order
+        for turn in rng.random((len(flat_nodes), d)).argsort(axis=1).T * n:
+            still = high[flat_nodes] <= low[flat_nodes]
+            these = flat_nodes[still]
+            if not len(these):
+                break
+            f[these], c = turn[still], count[these]
+            first = np.cumsum(c) - c
+            places = np.repeat(start[these] - first, c) + np.arange(c.sum())
+            again = flat[np.repeat(f[these], c) + row[places]]
+            value[places] = again
+            low[these], high[these] = np.minimum.reduceat(again, first), np.maximum.reduceat(again, first)
+        stay = high > low
+        if not stay.all():
+            value, f, low, high = value[np.repeat(stay, count)], f[stay], low[stay], high[stay]
+            close(stay, depth)
+        if not len(count):
+            break
+        cut = np.minimum(low + rng.random(len(count), dtype=np.float32) * (high - low), np.nextafter(high, np.float32(-np.inf)))
+        if not whole:
+            at = 2 * at + (flat[f[at] + seen] > cut[at])
+        child = np.repeat(np.arange(0, 2 * len(count), 2, dtype=np.int32), count) + (value > np.repeat(cut, count))
+        row = row[np.argsort(child, kind="stable")]
+        count = np.bincount(child, minlength=2 * len(count))
     return out
 
 
@@ -85,8 +96,9 @@ def scores(x: np.ndarray, trees: int, sample: int, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
     size = min(sample, len(x))
     total = np.zeros(len(x))
-    for t in range(0, trees, 100):
-        total += path_sums(x, min(100, trees - t), size, rng)
+    step = min(200, max(40, 25_000 // len(x)))  # the arrays of so many trees stay in the processor's cache
+    for t in range(0, trees, step):
+        total += path_sums(x, min(step, trees - t), size, rng)
     return -np.exp2(-total / trees / max(float(average_path(size)), 1e-12))
 
 
