@@ -58,6 +58,12 @@ def source_movements(obs: DataFrame, days: int = 7, threshold: float = 0.05) ->
     return moved.groupBy(*SERIES, "obs_date").agg(F.count(F.lit(1)).alias("n_sources_reporting"), F.count_if(F.abs("_c") >= threshold).alias("n_sources_flagging"))
 
 
+def source_coverage(obs: DataFrame) -> DataFrame:
+    """Distinct sources of each series over its whole life, and whether it is one."""
+    n = F.countDistinct("source")
+    return obs.groupBy(*SERIES).agg(n.alias("n_sources_lifetime"), (n < 2).alias("single_source_coverage"))
+
+
 def terms(inputs: DataFrame, p: FusionParams = FusionParams()) -> DataFrame:
     """The terms a, m, d (0 to 1) and c of each row.
 

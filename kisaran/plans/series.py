@@ -418,9 +418,10 @@ def series_segments(spark, base):
     return reports.segments(filled_of(spark, base))
 
 
-@query("SELECT region, max(obs_date) AS last_day, count(*) AS n_rows FROM day WHERE obs_date < DATE '2024-11-01' GROUP BY ALL", DAY)
+@query("SELECT region, max(obs_date) AS last_day, count(*) AS n_rows FROM day WHERE obs_date < (SELECT max(obs_date) FROM day) GROUP BY ALL", DAY)
 def settled_board(spark, base):
-    return settled_before(day_of(spark, base), "obs_date", "2024-11-01").groupBy("region").agg(F.max("obs_date").alias("last_day"), F.count(F.lit(1)).alias("n_rows"))
+    """The settled days of each region; the newest day of all is still open."""
+    return settled_before(day_of(spark, base), "obs_date").groupBy("region").agg(F.max("obs_date").alias("last_day"), F.count(F.lit(1)).alias("n_rows"))
 
 
 # ---- detectors ---------------------------------------------------------------
@@ -744,6 +745,11 @@ def source_movements(spark, base):
     return fusion.source_movements(obs_of(spark, base))
 
 
+@query("SELECT commodity, region, count(DISTINCT source) AS n_sources_lifetime, count(DISTINCT source) < 2 AS single_source_coverage FROM obs GROUP BY ALL", OBS)
+def source_coverage(spark, base):
+    return fusion.source_coverage(obs_of(spark, base))
+
+
 @query(
     "SELECT 'base' AS variant, level, count(*) AS n_rows FROM alerts GROUP BY ALL", FUSED, FUSE,
 )
@@ -802,51 +808,13 @@ def context_window(spark, base):
     return seen.select("candidate_id", F.size("context").cast("bigint").alias("n_days"), F.element_at("context", 1)["obs_date"].alias("first_day"), F.element_at("context", -1)["obs_date"].alias("last_day"), F.round(total, 2).alias("total_price"))
 
 
-LABELS = """lab AS (SELECT candidate_id, a AS annotator, arg_max(l, row(labeled_at, label_id)) AS label FROM (SELECT candidate_id, upper(trim(annotator_code)) AS a, lower(trim(label)) AS l, labeled_at, label_id FROM gt_labels) WHERE l IN ('anomali', 'normal', 'ragu') GROUP BY ALL)"""
-
-
-def labels_of(spark, base):
-    rows = table(spark, base, "gt_labels").select("candidate_id", F.upper(F.trim("annotator_code")).alias("annotator"), F.lower(F.trim("label")).alias("label"), "labeled_at", "label_id")
-    return linking.latest(rows.where(F.col("label").isin("anomali", "normal", "ragu")), ["candidate_id", "annotator"], ["label"], ["labeled_at", "label_id"])
-
-
-PAIRS = """pairs AS (SELECT x.label AS label_a, y.label AS label_b FROM lab x JOIN lab y USING (candidate_id) WHERE x.annotator = 'A1' AND y.annotator = 'K15')"""
-
-
-@query(
-    """SELECT n_paired, round(po, 6) AS observed_agreement, round(pe, 6) AS expected_agreement, round((po - pe) / (1 - pe), 6) AS kappa, CASE WHEN (po - pe) / (1 - pe) < 0 THEN 'worse than chance' WHEN (po - pe) / (1 - pe) < 0.2 THEN 'slight' WHEN (po - pe) / (1 - pe) < 0.4 THEN 'fair' WHEN (po - pe) / (1 - pe) < 0.6 THEN 'moderate' WHEN (po - pe) / (1 - pe) < 0.8 THEN 'substantial' ELSE 'almost perfect' END AS band FROM (
-  SELECT (SELECT count(*) FROM pairs) AS n_paired, (SELECT avg(CASE WHEN label_a = label_b THEN 1.0 ELSE 0.0 END) FROM pairs) AS po,
-  (SELECT sum(na * nb) FROM (SELECT label_a AS l, count(*) / (SELECT count(*) FROM pairs) AS na FROM pairs GROUP BY 1) JOIN (SELECT label_b AS l, count(*) / (SELECT count(*) FROM pairs) AS nb FROM pairs GROUP BY 1) USING (l)) AS pe)""",
-    LABELS, PAIRS,
-)
-def kappa(spark, base):
-    k = evaluate.cohen_kappa(evaluate.paired_labels(labels_of(spark, base), "A1", "K15"))
-    return k.select("n_paired", r6("observed_agreement"), r6("expected_agreement"), r6("kappa"), kappa_band(F.col("kappa")).alias("band"))
-
-
-@query("SELECT x.candidate_id, x.label AS label_a, y.label AS label_b FROM lab x JOIN lab y USING (candidate_id) WHERE x.annotator = 'A1' AND y.annotator = 'K15' AND x.label <> y.label", LABELS)
-def disagreements(spark, base):
-    return evaluate.paired_labels(labels_of(spark, base), "A1", "K15").where("label_a <> label_b")
-
-
-@query("SELECT c.sampling_stratum, count(DISTINCT c.candidate_id) AS n_candidates, count(l.label) AS n_labels, count(DISTINCT l.candidate_id) AS n_labelled FROM gt_candidates c LEFT JOIN lab l USING (candidate_id) GROUP BY ALL", LABELS)
-def labelling_progress(spark, base):
-    joined = table(spark, base, "gt_candidates").select("candidate_id", "sampling_stratum").join(labels_of(spark, base).withColumnRenamed("candidate_id", "_c"), F.col("candidate_id") == F.col("_c"), "left")
-    return joined.groupBy("sampling_stratum").agg(F.countDistinct("candidate_id").alias("n_candidates"), F.count("label").alias("n_labels"), F.countDistinct("_c").alias("n_labelled"))
-
-
-@query("SELECT candidate_id FROM gt_candidates c WHERE NOT EXISTS (SELECT 1 FROM lab l WHERE l.candidate_id = c.candidate_id AND l.annotator = 'A1')", LABELS)
-def labelling_queue(spark, base):
-    return table(spark, base, "gt_candidates").select("candidate_id").join(labels_of(spark, base).where("annotator = 'A1'").select("candidate_id"), "candidate_id", "left_anti")
-
-
-READ = """told AS (SELECT candidate_id, upper(regexp_replace(annotator_code, '[^A-Za-z0-9]', '', 'g')) AS annotator, regexp_replace(lower(label), '[^a-z]', '', 'g') AS w, labeled_at, label_id FROM gt_labels),
+LABELS = """told AS (SELECT candidate_id, upper(regexp_replace(annotator_code, '[^A-Za-z0-9]', '', 'g')) AS annotator, regexp_replace(lower(label), '[^a-z]', '', 'g') AS w, labeled_at, label_id FROM gt_labels),
 spelt AS (SELECT candidate_id, annotator, CASE WHEN regexp_matches(w, '^ano?ma?l') THEN 'anomali' WHEN regexp_matches(w, '^no?rm') THEN 'normal' WHEN regexp_matches(w, '^rag') THEN 'ragu' END AS l, labeled_at, label_id FROM told),
 lab AS (SELECT candidate_id, annotator, arg_max(l, row(labeled_at, label_id)) AS label FROM spelt WHERE l IS NOT NULL AND candidate_id IS NOT NULL AND annotator <> '' GROUP BY ALL),
 pairs AS (SELECT x.candidate_id, x.annotator AS annotator_a, y.annotator AS annotator_b, x.label AS label_a, y.label AS label_b FROM lab x JOIN lab y ON x.candidate_id = y.candidate_id AND x.annotator < y.annotator)"""
 
 
-def read_labels_of(spark, base):
+def labels_of(spark, base):
     """Standing labels through all spellings, as p5 reads them."""
     return labels.usable_labels(table(spark, base, "gt_labels"))
 
@@ -855,30 +823,29 @@ def read_labels_of(spark, base):
     """SELECT annotator_a, annotator_b, n_paired, round(po, 6) AS observed_agreement, round(pe, 6) AS expected_agreement, round(k, 6) AS kappa, CASE WHEN k < 0 THEN 'worse than chance' WHEN k < 0.2 THEN 'slight' WHEN k < 0.4 THEN 'fair' WHEN k < 0.6 THEN 'moderate' WHEN k < 0.8 THEN 'substantial' ELSE 'almost perfect' END AS band FROM (
   SELECT *, CASE WHEN pe >= 1 THEN 0 ELSE (po - pe) / (1 - pe) END AS k FROM (SELECT annotator_a, annotator_b, n_paired, s / n_paired AS po, e / (CAST(n_paired AS DOUBLE) * n_paired) AS pe FROM (
     SELECT annotator_a, annotator_b, count(*) AS n_paired, count(*) FILTER (label_a = label_b) AS s, count(*) FILTER (label_a = 'anomali') * count(*) FILTER (label_b = 'anomali') + count(*) FILTER (label_a = 'normal') * count(*) FILTER (label_b = 'normal') + count(*) FILTER (label_a = 'ragu') * count(*) FILTER (label_b = 'ragu') AS e FROM pairs GROUP BY ALL)))""",
-    READ,
+    LABELS,
 )
-def kappa_pairs(spark, base):
+def kappa(spark, base):
     """Agreement of every pair of annotators with a candidate in common."""
-    k = labels.pair_kappas(labels.label_pairs(read_labels_of(spark, base)))
+    k = labels.pair_kappas(labels.label_pairs(labels_of(spark, base)))
     return k.select("annotator_a", "annotator_b", "n_paired", r6("observed_agreement"), r6("expected_agreement"), r6("kappa"), kappa_band(F.col("kappa")).alias("band"))
 
 
-@query("SELECT candidate_id, annotator_a, annotator_b, label_a, label_b FROM pairs WHERE label_a <> label_b", READ)
-def pair_disagreements(spark, base):
-    return labels.label_pairs(read_labels_of(spark, base)).where("label_a <> label_b").select("candidate_id", "annotator_a", "annotator_b", "label_a", "label_b")
+@query("SELECT candidate_id, annotator_a, annotator_b, label_a, label_b FROM pairs WHERE label_a <> label_b", LABELS)
+def disagreements(spark, base):
+    return labels.label_pairs(labels_of(spark, base)).where("label_a <> label_b").select("candidate_id", "annotator_a", "annotator_b", "label_a", "label_b")
 
 
-@query("SELECT a.annotator, c.candidate_id FROM gt_candidates c, (SELECT DISTINCT annotator FROM told WHERE annotator <> '') a WHERE NOT EXISTS (SELECT 1 FROM lab l WHERE l.candidate_id = c.candidate_id AND l.annotator = a.annotator)", READ)
-def labelling_queues(spark, base):
+@query("SELECT a.annotator, c.candidate_id FROM gt_candidates c, (SELECT DISTINCT annotator FROM told WHERE annotator <> '') a WHERE NOT EXISTS (SELECT 1 FROM lab l WHERE l.candidate_id = c.candidate_id AND l.annotator = a.annotator)", LABELS)
+def labelling_queue(spark, base):
     """The open candidates of every annotator with a row in the labels."""
     codes = table(spark, base, "gt_labels").select(labels.annotator_code(F.col("annotator_code")).alias("annotator")).where("annotator != ''").distinct()
-    return labels.queues(table(spark, base, "gt_candidates"), read_labels_of(spark, base), codes)
+    return labels.queues(table(spark, base, "gt_candidates"), labels_of(spark, base), codes)
 
 
-@query("SELECT c.sampling_stratum, count(DISTINCT c.candidate_id) AS n_candidates, count(l.label) AS n_labels, count(DISTINCT l.candidate_id) AS n_labelled FROM gt_candidates c LEFT JOIN lab l USING (candidate_id) GROUP BY ALL", READ)
-def labelling_progress_read(spark, base):
-    """labelling_progress with the labels of all spellings."""
-    joined = table(spark, base, "gt_candidates").select("candidate_id", "sampling_stratum").join(read_labels_of(spark, base).withColumnRenamed("candidate_id", "_c"), F.col("candidate_id") == F.col("_c"), "left")
+@query("SELECT c.sampling_stratum, count(DISTINCT c.candidate_id) AS n_candidates, count(l.label) AS n_labels, count(DISTINCT l.candidate_id) AS n_labelled FROM gt_candidates c LEFT JOIN lab l USING (candidate_id) GROUP BY ALL", LABELS)
+def labelling_progress(spark, base):
+    joined = table(spark, base, "gt_candidates").select("candidate_id", "sampling_stratum").join(labels_of(spark, base).withColumnRenamed("candidate_id", "_c"), F.col("candidate_id") == F.col("_c"), "left")
     return joined.groupBy("sampling_stratum").agg(F.countDistinct("candidate_id").alias("n_candidates"), F.count("label").alias("n_labels"), F.countDistinct("_c").alias("n_labelled"))
 
 
@@ -952,6 +919,7 @@ def flagship(spark: SparkSession, base: str) -> DataFrame:
     inputs = (
         scored.select(*keys, F.col("norm_score").alias("norm_zscore"), F.col("is_flagged").alias("zscore_flagged"))
         .join(moved.select(*keys, "pct_change_7d"), keys, "left").join(fusion.source_movements(obs), keys, "left")
-        .withColumns({"norm_iforest": F.lit(None).cast("double"), "iforest_flagged": F.lit(None).cast("boolean"), "demand_z52": F.lit(None).cast("double"), "single_source_coverage": F.lit(False)})
+        .withColumns({"norm_iforest": F.lit(None).cast("double"), "iforest_flagged": F.lit(None).cast("boolean"), "demand_z52": F.lit(None).cast("double")})
+        .join(fusion.source_coverage(obs).select(*SERIES, "single_source_coverage"), SERIES, "left")
     )
     return fusion.fuse(inputs)

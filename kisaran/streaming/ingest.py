@@ -31,6 +31,8 @@ def settled_days(stream: DataFrame, at: str, keys: list[str], value: str, delay:
     )
 
 
-def settled_before(df: DataFrame, at: str, as_of: str) -> DataFrame:
-    """Rows of days before ``as_of`` (yyyy-MM-dd): today is still open."""
-    return df.where(F.col(at) < F.lit(as_of).cast("date"))
+def settled_before(df: DataFrame, at: str, as_of: str | None = None) -> DataFrame:
+    """Rows of days before ``as_of`` (yyyy-MM-dd), the day still open; without it the
+    newest day in ``df`` is the open one."""
+    day = F.lit(as_of).cast("date") if as_of else df.agg(F.max(at)).scalar()
+    return df.where(F.col(at) < day)

@@ -110,7 +110,7 @@ def test_all_measures_have_both_windows(spark):
     from kisaran.plans import problems, registry
 
     base = "/root/testdata/sf0.001"
-    got = {(r.measure, r.commodity, r.region, r.obs_date): r for r in registry.QUERIES["p6_measures"](spark, base).collect()}
+    got = {(r.measure, r.commodity, r.region, r.obs_date): r for r in registry.QUERIES["p6_totals"](spark, base).collect()}
     rows = problems._fused(spark, base).collect()
     for name in ("demand_z52", "pct_change_7d"):
         value = {(r.commodity, r.region, r.obs_date): r[name] for r in rows}
