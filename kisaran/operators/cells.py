@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kisaran.functions.scalars import scalar_struct
+from kisaran.operators import kmeans
+from kisaran.session import cut_lineage
 
 SERIES = ["commodity", "region"]
 CELL = [*SERIES, "period_month"]
@@ -104,3 +106,42 @@ def zone_stability(cells: DataFrame) -> DataFrame:
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """The first ``k`` rows of each group; Spark prunes before the shuffle."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= k).drop("_r")
+
+
+FEATURES = ["volatility", "cum_change"]
+
+
+def fit_zones(gated: DataFrame, ks: tuple[int, ...] = tuple(range(2, 9)), min_cells: int = 30, **settings) -> tuple[DataFrame, DataFrame]:
+    """(cells, clusters): a whole clustering run over gated monthly cells.
+
+    Both features are standardised, the k of the largest silhouette is taken and its
+    clusters are given zones by their centres on the first scale.  Cells that failed a
+    gate come back without cluster, zone and silhouette.  Below ``min_cells`` cells, or
+    with a single distinct cell, nothing is fitted: the cells get the reason
+    ``too_few_cells`` and there are no clusters.
+    """
+    cells = cut_lineage(standardise_good(gated))
+    good, std = cells.where("quality_reason is null"), [f"{c}_std" for c in FEATURES]
+    found = kmeans.search(good, std, list(ks), **settings) if good.limit(min_cells).count() >= min_cells else {}
+    k = kmeans.best_k(found)
+    keep = [c for c in gated.columns if c != "quality_reason"]
+    nothing = {"cluster_id": F.lit(None).cast("int"), "zone": F.lit(None).cast("string"), "silhouette": F.lit(None).cast("double")}
+    if k is None:
+        none = cells.withColumns(nothing).withColumn("quality_reason", F.coalesce("quality_reason", F.lit("too_few_cells")))
+        shape = none.where("false").groupBy("cluster_id").agg(*[F.avg(c).alias(c) for c in FEATURES], F.count(F.lit(1)).alias("n_cells"))
+        return none.select(*keep, "quality_reason", *nothing), shape.select("cluster_id", "n_cells", *FEATURES, F.lit(None).cast("double").alias("severity"), F.lit(None).cast("string").alias("zone"))
+    scored = cut_lineage(kmeans.silhouette(kmeans.assign(good, std, found[k][2]), std, "cluster_id"))
+    clusters = zone_map(scored.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_cells"), *[F.avg(c).alias(c) for c in FEATURES]))
+    zoned = scored.join(F.broadcast(clusters.select("cluster_id", "zone")), "cluster_id")  # k rows
+    rest = cells.where("quality_reason is not null").withColumns(nothing)
+    out = [*keep, "quality_reason", *nothing]
+    return zoned.select(*out).unionByName(rest.select(*out)), clusters.select("cluster_id", "n_cells", *FEATURES, "severity", "zone")
+
+
+def standardise_good(gated: DataFrame) -> DataFrame:
+    """``gated`` with the features standardised over the cells that passed the gates
+    (NULL in the others)."""
+    passed = F.col("quality_reason").isNull()
+    marked = gated.withColumns({f"_{c}": F.when(passed, F.col(c)) for c in FEATURES})
+    scaled = standardise(marked, [f"_{c}" for c in FEATURES])
+    return scaled.withColumnsRenamed({f"_{c}_std": f"{c}_std" for c in FEATURES}).drop(*[f"_{c}" for c in FEATURES])

@@ -146,3 +146,24 @@ def compare_runs(left: DataFrame, right: DataFrame, keys: list[str], value: str,
         F.count_if(both & F.col("l").eqNullSafe(F.col("r"))).alias("n_equal"), F.count_if(both & ~F.col("l").eqNullSafe(F.col("r"))).alias("n_different"),
         F.count_if(F.col("_r").isNull()).alias("n_left_only"), F.count_if(F.col("_l").isNull()).alias("n_right_only"),
     )
+
+
+def baselines(candidates: DataFrame, daily: DataFrame, days: int = 30, min_obs: int = 20) -> DataFrame:
+    """``baseline``: mean of the real prices of the ``days`` days before each candidate,
+    NULL for fewer than ``min_obs``.  Candidates are unfolded to days, so the join is
+    an equality on series and day."""
+    spread = candidates.select("candidate_id", *SERIES, F.explode(F.sequence(F.date_sub("obs_date", days), F.date_sub("obs_date", 1))).alias("obs_date"))
+    met = spread.join(daily.select(*KEY, "price"), KEY).groupBy("candidate_id").agg(F.count("price").alias("n_obs"), F.avg("price").alias("_m"))
+    return candidates.select("candidate_id").join(met, "candidate_id", "left").select("candidate_id", F.coalesce("n_obs", F.lit(0)).alias("n_obs"), F.when(F.col("n_obs") >= min_obs, F.col("_m")).alias("baseline"))
+
+
+def new_candidates(pool: DataFrame, existing: DataFrame) -> DataFrame:
+    """Candidates of a pool that are not there yet."""
+    return pool.join(existing.select(*KEY).distinct(), KEY, "left_anti")
+
+
+def clear_pool(candidates: DataFrame, labels: DataFrame) -> DataFrame:
+    """The empty pool; refused while any label refers to it."""
+    if labels.join(candidates.select("candidate_id"), "candidate_id", "left_semi").limit(1).count():
+        raise ValueError("the pool has labels")
+    return candidates.limit(0)

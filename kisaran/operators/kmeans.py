@@ -202,3 +202,18 @@ def silhouette(df: DataFrame, columns: list[str], cluster: str, block: int = 20_
         value = F.lit(0.0) if sizes[label] == 1 else F.coalesce(F.try_divide(near - own, F.greatest(near, own)), F.lit(0.0))
         score = F.when(F.col(cluster) == label, value).otherwise(score)
     return out.select(*[f.name for f in kinds], score.alias("silhouette"))
+
+
+def search(df: DataFrame, columns: list[str], ks: list[int], **settings) -> dict[int, tuple[float, float, np.ndarray]]:
+    """k -> (inertia, mean exact silhouette, centres) of the best restart of each k."""
+    points = cut_lineage(df.select(*columns).dropna())
+    found = {}
+    for k, (inertia, centres) in fit_grid(points, columns, ks, **settings).items():
+        scored = silhouette(assign(points, columns, centres), columns, "cluster_id")
+        found[k] = (inertia, float(scored.agg(F.avg("silhouette")).first()[0]), centres)
+    return found
+
+
+def best_k(found: dict[int, tuple[float, float, np.ndarray]], digits: int = 9) -> int | None:
+    """The k of the largest silhouette, the least on ties; None if nothing was fitted."""
+    return min(found, key=lambda k: (-round(found[k][1], digits), k), default=None)

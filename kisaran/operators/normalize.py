@@ -78,3 +78,42 @@ def batch_status(parts: DataFrame, keys: list[str], accepted: str, rejected: str
     """``status``: failed if nothing was accepted, partial if anything was rejected."""
     sums = parts.groupBy(*keys).agg(F.coalesce(F.sum(accepted), F.lit(0)).alias("n_accepted"), F.coalesce(F.sum(rejected), F.lit(0)).alias("n_rejected"))
     return sums.withColumn("status", F.when(F.col("n_accepted") == 0, "failed").when(F.col("n_rejected") > 0, "partial").otherwise("success"))
+
+
+def present_variants(seen: DataFrame, index: DataFrame) -> DataFrame:
+    """Per source and commodity the first configured name that occurs, its rank, and
+    how many configured names occur.  ``seen``: source, name."""
+    names = seen.select(F.col("source"), fold(F.col("name")).alias("alias")).distinct()
+    met = index.join(names, ["source", "alias"])
+    return met.groupBy("source", "commodity").agg(F.min_by("alias", F.struct("alias_rank", "alias")).alias("alias"), F.min("alias_rank").cast("bigint").alias("alias_rank"), F.countDistinct("alias").alias("n_present"))
+
+
+def conversion_factors(obs: DataFrame, commodities: DataFrame, conversions: DataFrame) -> DataFrame:
+    """``unit`` (folded), ``target`` (the commodity's unit) and ``factor`` (targets in
+    one unit; 1 if equal, NULL if there is no conversion) of each row.
+
+    ``obs``: commodity_slug, raw_unit; a row without a unit is taken to be in the
+    commodity's own.  A conversion with ``applies_to`` holds for these slugs only.
+    """
+    goods = commodities.select(F.col("slug").alias("commodity_slug"), F.col("canonical_unit").alias("target"))
+    some = F.transform(F.split("applies_to", ","), lambda x: F.trim(x))
+    rules = conversions.select("from_unit", "to_unit", F.col("amount").cast("double").alias("_amount"), some.alias("_only"))
+    read = obs.join(goods, "commodity_slug", "left").withColumn("unit", F.coalesce(fold(F.col("raw_unit")), F.col("target")))
+    fits = (F.col("o.unit") == F.col("r.from_unit")) & (F.col("o.target") == F.col("r.to_unit")) & (F.col("r._only").isNull() | F.array_contains("r._only", F.col("o.commodity_slug")))
+    joined = read.alias("o").join(rules.alias("r"), fits, "left")
+    return joined.select(*[F.col(f"o.{c}") for c in read.columns], F.when(F.col("o.unit") == F.col("o.target"), 1.0).otherwise(F.col("r._amount")).alias("factor"))
+
+
+def resume_days(seen: DataFrame, nationwide: DataFrame) -> DataFrame:
+    """Days of the whole span on which no region but the nationwide ones has a row: what
+    a resumed backfill still has to fetch.  ``nationwide``: region."""
+    own = seen.join(nationwide, "region", "left_anti").select("obs_date").distinct()
+    span = seen.agg(F.min("obs_date").alias("a"), F.max("obs_date").alias("b")).where("a is not null")
+    return span.select(F.explode(F.sequence("a", "b")).alias("obs_date")).join(own, "obs_date", "left_anti")
+
+
+def bridge_changes(declared: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """What to do to make the declared pairs those that were found: keep, delete, insert."""
+    side = lambda df, n: df.select(*keys).distinct().withColumn(n, F.lit(True))
+    full = side(declared, "_d").join(side(found, "_f"), keys, "full")
+    return full.select(*keys, F.when(F.col("_f").isNull(), "delete").when(F.col("_d").isNull(), "insert").otherwise("keep").alias("action"))

@@ -632,19 +632,26 @@ def exact_silhouette(spark, base):
 
 @query()
 def kmeans_search(spark, base):
-    """k, inertia and mean silhouette of the best restart for k = 2 to 8."""
-    good = cells.standardise(gated_of(spark, base).where("quality_reason is null"), ["volatility", "cum_change"]).select(*SERIES, "period_month", "volatility_std", "cum_change_std")
-    from kisaran.session import cut_lineage
+    """k, inertia and mean silhouette of the best restart for k = 2 to 8, which k is
+    taken, and by how much it leads the runner-up."""
+    good = cells.standardise(gated_of(spark, base).where("quality_reason is null"), cells.FEATURES)
+    found = kmeans.search(good, ["volatility_std", "cum_change_std"], list(range(2, 9)), restarts=50, passes=300)
+    best = kmeans.best_k(found)
+    second = max((s for k, (_, s, _) in found.items() if k != best), default=None)
+    rows = [(k, round(i, 6), round(s, 6), k == best, round(s - second, 6) if k == best and second is not None else None) for k, (i, s, _) in sorted(found.items())]
+    return spark.createDataFrame(rows, "k int, inertia double, silhouette double, is_best boolean, margin double")
 
-    good, columns = cut_lineage(good), ["volatility_std", "cum_change_std"]
-    parts = []
-    for k, (inertia, centres) in kmeans.fit_grid(good, columns, list(range(2, 9)), restarts=50, passes=300).items():
-        scored = kmeans.silhouette(kmeans.assign(good, columns, centres), columns, "cluster_id")
-        parts.append(scored.agg(F.lit(k).alias("k"), F.round(F.lit(inertia), 6).alias("inertia"), F.round(F.avg("silhouette"), 6).alias("silhouette")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+
+@query()
+def cluster_cells(spark, base):
+    """Monthly cells with cluster, zone and silhouette of a whole run; gated cells without."""
+    return cells.fit_zones(gated_of(spark, base))[0]
+
+
+@query()
+def cluster_zones(spark, base):
+    """The clusters of that run: size, centre on the first scale, severity, zone."""
+    return cells.fit_zones(gated_of(spark, base))[1]
 
 
 # ---- seasons ---------------------------------------------------------------------
@@ -693,6 +700,12 @@ def stl_components(spark, base):
     return seasonal.decompose(weeks_of(spark, base), period=13, min_weeks=27)
 
 
+@query()
+def risky_weeks(spark, base):
+    """ISO weeks whose mean seasonal component reaches the 90 % quantile of the series."""
+    return seasonal.week_profile(seasonal.decompose(weeks_of(spark, base), period=13, min_weeks=27))
+
+
 # ---- fusion ------------------------------------------------------------------------
 
 FUSE = """terms AS (SELECT *, CASE WHEN coalesce(norm_zscore, norm_iforest) IS NOT NULL THEN least(greatest(norm_zscore, norm_iforest) * CASE WHEN coalesce(zscore_flagged AND iforest_flagged, FALSE) THEN 1.15::DOUBLE ELSE 1.0::DOUBLE END, 1.0::DOUBLE) END AS a,
