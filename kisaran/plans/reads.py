@@ -14,7 +14,7 @@ from kisaran.plans.series import (
     ALIAS, ARMS, CHAIN, DAY, EVENTS, FUSE, FUSED, LABELS, OBS, TAGGED, ZSCORE, _variants_sql, alerts_of, arms_of, day_of, events_of, filled_of, fused_of, labels_of, obs_of, offsets_of, price_of, query, r6, tagged_of, z_of,
 )
 from kisaran.session import table
-from kisaran.sources import payloads
+from kisaran.sources import payloads, reference
 
 # ---- sources and normalisation ----------------------------------------------
 
@@ -375,3 +375,16 @@ def pilot_agreement(spark, base):
         rows = rows.join(active, code(c) == F.col("annotator"), "left_semi")
     return rows.select("annotator_a", "annotator_b", F.col("n_paired").alias("n_pilot"), F.round("kappa", 6).alias("kappa_pilot"))
 
+
+
+@query(
+    """SELECT 'unknown_parent' AS kind, slug AS owner, parent_slug AS value FROM regions WHERE parent_slug IS NOT NULL AND parent_slug NOT IN (SELECT slug FROM regions)
+UNION ALL SELECT 'unknown_source', slug, s FROM (SELECT slug, unnest(map_keys(source_aliases)) AS s FROM commodities) WHERE s NOT IN (SELECT source FROM normalize_reports)
+UNION ALL SELECT 'undeclared_source', c.slug, s.source FROM commodities c, (SELECT DISTINCT source FROM normalize_reports) s WHERE NOT list_contains(map_keys(c.source_aliases), s.source)
+UNION ALL SELECT 'name_of_two', source, alias FROM alias GROUP BY ALL HAVING count(DISTINCT slug) > 1""",
+    ALIAS,
+)
+def reference_problems(spark, base):
+    """What does not fit together in the lists; the sources are those that report."""
+    sources = table(spark, base, "normalize_reports").select(F.col("source").alias("slug")).where("slug is not null").distinct()
+    return reference.reference_problems(table(spark, base, "commodities"), table(spark, base, "regions"), sources)
