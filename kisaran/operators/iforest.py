@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -86,8 +87,11 @@ def path_sums(x: np.ndarray, trees: int, size: int, rng: np.random.Generator) ->
         if not whole:
             at = 2 * at + (flat[f[at] + seen] > cut[at])
         child = np.repeat(np.arange(0, 2 * len(count), 2, dtype=np.int32), count) + (value > np.repeat(cut, count))
-        row = row[np.argsort(child, kind="stable")]
         count = np.bincount(child, minlength=2 * len(count))
+        if depth + 1 == limit:  # nothing is split any more
+            out += np.bincount(row if whole else seen, (limit + paths[count])[child if whole else at], n)
+            break
+        row = row[np.argsort(child, kind="stable")]
     return out
 
 
@@ -109,16 +113,16 @@ def spread_series(df: DataFrame) -> DataFrame:
     return df.repartition(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "commodity", "region")
 
 
-def _series_scores(pdf: pd.DataFrame, trees: int, min_history: int, sample: int, seed: int) -> tuple[pd.DataFrame, np.ndarray]:
+def _series_scores(rows: pa.Table, trees: int, min_history: int, sample: int, seed: int) -> tuple[pa.Table, np.ndarray]:
     """The series in order of days, and its scores (NaN where there is none)."""
-    pdf = pdf.sort_values("obs_date", kind="stable").reset_index(drop=True)
-    x = pdf[FEATURES].to_numpy(float)
+    rows = rows.sort_by("obs_date")
+    x = np.column_stack([pc.cast(rows[c], pa.float64()).to_numpy() for c in FEATURES])
     full = np.isfinite(x).all(axis=1)
-    raw = np.full(len(pdf), np.nan)
-    if len(pdf) >= min_history and full.sum() >= min_history:
-        key = f"{pdf['commodity'][0]}|{pdf['region'][0]}|{seed}"
+    raw = np.full(len(x), np.nan)
+    if len(x) >= min_history and full.sum() >= min_history:
+        key = f"{rows['commodity'][0].as_py()}|{rows['region'][0].as_py()}|{seed}"
         raw[full] = scores(x[full], trees, sample, xxhash.xxh32_intdigest(key))
-    return pdf[["commodity", "region", "obs_date"]], raw
+    return rows.select(["commodity", "region", "obs_date"]), raw
 
 
 def isolate(features: DataFrame, trees: int = 200, contamination: float = 0.03, min_history: int = 60, sample: int = 256, seed: int = 20260729) -> DataFrame:
@@ -130,29 +134,28 @@ def isolate(features: DataFrame, trees: int = 200, contamination: float = 0.03,
     by the calendar, whatever share of the raw rows it had.
     """
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, raw = _series_scores(pdf, trees, min_history, sample, seed)
+    def one(rows: pa.Table) -> pa.Table:
+        out, raw = _series_scores(rows, trees, min_history, sample, seed)
         judged = np.isfinite(raw)
         cut = float(np.quantile(raw[judged], contamination)) if judged.any() else np.nan
-        return out.assign(
-            raw_score=pd.Series(raw).astype(object).where(judged, None), is_flagged=np.nan_to_num(raw, nan=np.inf) < cut if judged.any() else False,
-            threshold_used=cut if judged.any() else None,
-        )
+        flags = judged & (np.nan_to_num(raw) < (cut if judged.any() else -np.inf))
+        return out.append_column("raw_score", pa.array(raw, from_pandas=True)).append_column("is_flagged", pa.array(flags)).append_column("threshold_used", pa.array(np.full(len(raw), cut), from_pandas=True))
 
-    return spread_series(features).groupBy("commodity", "region").applyInPandas(one, SCHEMA)
+    return spread_series(features).groupBy("commodity", "region").applyInArrow(one, SCHEMA)
 
 
 def flag_sets(features: DataFrame, contaminations: list[float], trees: int = 200, min_history: int = 60, sample: int = 256, seed: int = 20260729) -> DataFrame:
     """The flagged readings under each contamination (column ``contamination``, as
     text): every series is scored once and cut at each of its quantiles."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, raw = _series_scores(pdf, trees, min_history, sample, seed)
+    def one(rows: pa.Table) -> pa.Table:
+        out, raw = _series_scores(rows, trees, min_history, sample, seed)
         judged = np.isfinite(raw)
-        sets = [out[np.nan_to_num(raw, nan=np.inf) < np.quantile(raw[judged], c)].assign(contamination=str(c)) for c in contaminations if judged.any()]
-        return pd.concat(sets) if sets else out.head(0).assign(contamination="")
+        met = [np.flatnonzero(judged & (np.nan_to_num(raw) < np.quantile(raw[judged], c))) for c in contaminations if judged.any()]
+        names = np.repeat([str(c) for c in contaminations][: len(met)], [len(m) for m in met]).tolist()
+        return out.take(np.concatenate([*met, np.zeros(0, int)]).astype(np.int64)).append_column("contamination", pa.array(names, pa.string()))
 
-    return spread_series(features).groupBy("commodity", "region").applyInPandas(one, "commodity string, region string, obs_date date, contamination string")
+    return spread_series(features).groupBy("commodity", "region").applyInArrow(one, "commodity string, region string, obs_date date, contamination string")
 
 
 __all__ = ["FEATURES", "flag_sets", "isolate", "scores"]
