@@ -40,7 +40,7 @@ def annotator_weights(edges: DataFrame, classes: tuple[str, ...] = LABELS, max_r
     into one task.  The annotator table is broadcast only below a checked count.
     Each round is cut by a checkpoint.  The messages stand still when no edge moves
     by ``tolerance`` (of the messages' root mean square); the move shrinks by a
-    constant factor a round (seven to nine rounds on the test tables).  Where it
+    constant factor a round (five to eight rounds on the test tables).  Where it
     does not shrink (annotators who contradict each other flip all signs each
     round), messages are mixed half and half with the ones before.  Should they
     still move after ``max_rounds``, a warning says by how much.
