@@ -129,17 +129,22 @@ def perturbed_weights(p: FusionParams = FusionParams(), delta: float = 0.10) ->
     return out
 
 
-def all_levels(inputs: DataFrame, p: FusionParams = FusionParams(), delta: float = 0.10) -> DataFrame:
-    """Every row with ``levels``, an array of (variant, score, level) under every weight
-    vector.  The vectors are literals, so nothing is joined."""
-    t = terms(inputs, p)
+def _levels(p: FusionParams, delta: float) -> Column:
+    """Array of (variant, score, level) under every weight vector, from the terms."""
     options = []
     for name, w in perturbed_weights(p, delta):
         score = weighted({k: F.lit(v) for k, v in w.items()})
         options.append(F.struct(F.lit(name).alias("variant"), score.alias("score"), level_of(score, p)[0].alias("level")))
-    return t.select(*SERIES, "obs_date", "a", "m", "d", "c", F.array(*options).alias("levels"))
+    return F.array(*options)
+
+
+def all_levels(inputs: DataFrame, p: FusionParams = FusionParams(), delta: float = 0.10) -> DataFrame:
+    """Every row with ``levels``, an array of (variant, score, level) under every weight
+    vector.  The vectors are literals, so nothing is joined."""
+    return terms(inputs, p).select(*SERIES, "obs_date", "a", "m", "d", "c", _levels(p, delta).alias("levels"))
 
 
 def sensitivity(inputs: DataFrame, p: FusionParams = FusionParams(), delta: float = 0.10) -> DataFrame:
-    """Every row under every weight vector: variant, score and level."""
-    return all_levels(inputs, p, delta).select(*SERIES, "obs_date", F.explode("levels").alias("v")).select(*SERIES, "obs_date", "v.*")
+    """Every row under every weight vector: variant, score and level.  The vectors are
+    literals, so the rows are unfolded in place instead of joined."""
+    return terms(inputs, p).select(*SERIES, "obs_date", "a", "m", "d", "c", F.explode(_levels(p, delta)).alias("v")).select(*SERIES, "obs_date", "v.*")
