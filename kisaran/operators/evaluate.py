@@ -40,6 +40,23 @@ def candidate_pool(tagged: DataFrame, size: int = 400, control_share: float = 0.
     return pool.withColumn("shuffle_key", key).drop("_o", "_r", "_n")
 
 
+def days_around(candidates: DataFrame, daily: DataFrame, before: int, after: int) -> DataFrame:
+    """candidate_id and ``near``, an array of (obs_date, price): one or two rows a
+    candidate that hold the days around it between them, NULL or empty without any.
+
+    Days are folded to blocks as long as the window, so a window lies in two blocks at
+    most and candidates are not unfolded to days: the planner takes an unfolded table
+    for as small as the folded one and would broadcast it.  The left join keeps them
+    from being the broadcast side at all.
+    """
+    length = before + after + 1
+    block = lambda day: F.floor(F.unix_date(day) / length)
+    first, last = F.date_sub("obs_date", before), F.date_add("obs_date", after)
+    blocks = daily.groupBy(*SERIES, block(F.col("obs_date")).alias("_b")).agg(F.collect_list(F.struct("obs_date", "price")).alias("_days"))
+    spans = candidates.select("candidate_id", *SERIES, first.alias("_first"), last.alias("_last"), F.explode(F.array_distinct(F.array(block(first), block(last)))).alias("_b"))
+    return spans.join(blocks, [*SERIES, "_b"], "left").select("candidate_id", F.filter("_days", lambda x: x["obs_date"].between(F.col("_first"), F.col("_last"))).alias("near"))
+
+
 def context_windows(candidates: DataFrame, daily: DataFrame, before: int = 30, after: int = 14) -> DataFrame:
     """The days around each candidate as an array of (obs_date, price).
 
@@ -150,11 +167,11 @@ def compare_runs(left: DataFrame, right: DataFrame, keys: list[str], value: str,
 
 def baselines(candidates: DataFrame, daily: DataFrame, days: int = 30, min_obs: int = 20) -> DataFrame:
     """``baseline``: mean of the real prices of the ``days`` days before each candidate,
-    NULL for fewer than ``min_obs``.  Candidates are unfolded to days, so the join is
-    an equality on series and day."""
-    spread = candidates.select("candidate_id", *SERIES, F.explode(F.sequence(F.date_sub("obs_date", days), F.date_sub("obs_date", 1))).alias("obs_date"))
-    met = spread.join(daily.select(*KEY, "price"), KEY).groupBy("candidate_id").agg(F.count("price").alias("n_obs"), F.avg("price").alias("_m"))
-    return candidates.select("candidate_id").join(met, "candidate_id", "left").select("candidate_id", F.coalesce("n_obs", F.lit(0)).alias("n_obs"), F.when(F.col("n_obs") >= min_obs, F.col("_m")).alias("baseline"))
+    NULL for fewer than ``min_obs``; one row a candidate_id."""
+    near = days_around(candidates, daily.where("price is not null"), days, -1)
+    n, total = F.when(F.col("near").isNotNull(), F.size("near")), F.aggregate("near", F.lit(0.0), lambda s, x: s + x["price"])
+    met = near.groupBy("candidate_id").agg(F.coalesce(F.sum(n), F.lit(0)).alias("n_obs"), F.sum(total).alias("_s"))
+    return met.select("candidate_id", "n_obs", F.when(F.col("n_obs") >= min_obs, F.try_divide("_s", F.col("n_obs").cast("double"))).alias("baseline"))
 
 
 def new_candidates(pool: DataFrame, existing: DataFrame) -> DataFrame:
