@@ -58,14 +58,10 @@ def days_around(candidates: DataFrame, daily: DataFrame, before: int, after: int
 
 
 def context_windows(candidates: DataFrame, daily: DataFrame, before: int = 30, after: int = 14) -> DataFrame:
-    """The days around each candidate as an array of (obs_date, price).
-
-    Each candidate is unfolded to its days first, so the join is an equality on
-    series and day; an array holds at most before + after + 1 days.
-    """
-    days = candidates.select("candidate_id", *SERIES, F.explode(F.sequence(F.date_sub("obs_date", before), F.date_add("obs_date", after))).alias("obs_date"))
-    met = days.join(daily.select(*KEY, "price"), KEY)
-    return met.groupBy("candidate_id").agg(F.sort_array(F.collect_list(F.struct("obs_date", "price"))).alias("context"))
+    """The days around each candidate as an array of (obs_date, price); an array holds
+    at most before + after + 1 days.  Candidates without any day are left out."""
+    near = days_around(candidates, daily, before, after)
+    return near.groupBy("candidate_id").agg(F.sort_array(F.flatten(F.collect_list("near"))).alias("context")).where(F.size("context") > 0)
 
 
 def paired_labels(labels: DataFrame, a: str, b: str) -> DataFrame:

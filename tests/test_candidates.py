@@ -61,3 +61,15 @@ def test_baselines_against_brute_force(spark, seed):
 
 def test_baselines_do_not_broadcast_unfolded_candidates(long_daily):
     assert broadcast_sides(evaluate.baselines(*long_daily)) == []
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_context_windows_against_brute_force(spark, seed):
+    candidates, daily = tables(seed)
+    got = evaluate.context_windows(spark.createDataFrame(candidates, CANDIDATES), spark.createDataFrame(daily, DAILY)).collect()
+    assert len({r.candidate_id for r in got}) == len(got)
+    assert {r.candidate_id: [tuple(x) for x in r.context] for r in got} == {i: x for i, x in brute(candidates, daily, 30, 14).items() if x}
+
+
+def test_context_windows_do_not_broadcast_unfolded_candidates(long_daily):
+    assert broadcast_sides(evaluate.context_windows(*long_daily)) == []
